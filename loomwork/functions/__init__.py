@@ -1,0 +1 @@
+"""loomwork.functions"""

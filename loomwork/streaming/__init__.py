@@ -1,0 +1 @@
+"""loomwork.streaming"""
