@@ -32,7 +32,7 @@ SHARE = 1.5
 CAP = 2
 #: Longest block; short corpora take shorter ones, a twenty-thousandth of all words.
 BLOCK = 512
-SHARD_SLOTS = 1024
+SHARD_SLOTS = 4096
 ROUNDS = 12
 BUCKET_ROWS = 50_000
 WORD = r"[^\x20\x09-\x0D]+"
