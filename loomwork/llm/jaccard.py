@@ -67,6 +67,12 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> tuple
     return found, np.searchsorted(rows, np.arange(len(offsets)))
 
 
+def set_ids(found: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each set."""
+    total = np.concatenate([np.zeros(1, T.U64), np.cumsum(T.mix(found + T.U64(0x51ED270B)), dtype=T.U64)])
+    return T.mix(total[first[1:]] - total[first[:-1]] + np.diff(first).astype(T.U64)).view(np.int64)
+
+
 def prefix_size(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Shingles of a set of n of which a similar set must share one."""
     return n - -(-percent * n // 100) + 1
@@ -115,15 +121,13 @@ def nodes(docs: DataFrame, text: str, key: str, k: int, percent: int) -> DataFra
             for i, j, data, offsets in T.slices(batch.column(1), T.SLICE_BYTES // 2):
                 found, first = shingle_sets(data, offsets, k)
                 rows, n = T.row_of(first), np.diff(first)
-                total = np.zeros(len(n), T.U64)
-                np.add.at(total, rows, T.mix(found + T.U64(0x51ED270B)))
                 ranked = np.lexsort((found, weight[(found >> T.U64(44)).astype(np.int64)], rows))
                 head = (np.arange(len(found)) - first[rows]) < prefix_size(n, percent)[rows]
                 prefix = found[ranked][head]
                 ends = np.concatenate([[0], np.cumsum(np.bincount(rows[head], minlength=len(n)))]).astype(np.int32)
                 packed = signatures(found, first)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(T.mix(total + n.astype(T.U64)).view(np.int64)), pa.array(n, pa.int64()), pa.array([r.tobytes() for r in packed], pa.binary()), pa.ListArray.from_arrays(ends, prefix.view(np.int64))],
+                    [batch.column(0).slice(i, j - i), pa.array(set_ids(found, first)), pa.array(n, pa.int64()), pa.array([r.tobytes() for r in packed], pa.binary()), pa.ListArray.from_arrays(ends, prefix.view(np.int64))],
                     [key, "id", "n", "signature", "prefix"],
                 )
 
@@ -227,7 +231,7 @@ def search(members: DataFrame, percent: int) -> DataFrame:
     return spread.repartition("g").sortWithinPartitions("g", "n").mapInArrow(run, "a long, b long").distinct()
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
     one = sets.select(F.col("id").alias("a"), F.col("tokens").alias("x"))
     two = sets.select(F.col("id").alias("b"), F.col("tokens").alias("y"))
@@ -244,6 +248,25 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def verify(pairs: DataFrame, known: DataFrame, docs: DataFrame, scratch: Scratch, name: str, text: str, key: str, k: int, percent: int) -> DataFrame:
+    """The similar ones of the saved ``pairs``, from the whole texts of their nodes."""
+
+    def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for i, j, data, offsets in T.slices(batch.column(1)):
+                found, first = shingle_sets(data, offsets, k)
+                own = np.flatnonzero(set_ids(found, first) == ids[i:j])  # keys may repeat with other texts
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][own]), pa.array([found[first[r] : first[r + 1]].tobytes() for r in own], pa.binary())], ["id", "tokens"])
+
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    needed = ids.join(known, "id").select("id", F.col("rep").alias(key))
+    sets = scratch.save(docs.select(F.col(key), F.col(text)).join(needed, key).select("id", text).mapInArrow(tokens_of, "id long, tokens binary"), f"{name}-sets")
+    found = scratch.save(_similar(pairs, sets, percent).distinct(), name)
+    scratch.drop(f"{name}-sets")
+    return found
+
+
 def _possible(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """Pairs whose sizes and signatures let them be similar."""
     one = known.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("signature").alias("sa"))
@@ -264,35 +287,27 @@ def _possible(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
 def link(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(key, id, n) of each document and (id, component) of the sets that link with others."""
     scratch = Scratch(docs.sparkSession, "jaccard")
-    base = scratch.save(nodes(docs, text, key, k, percent), "nodes")
-    known = scratch.save(base.where("n > 0").groupBy("id").agg(F.min(key).alias("rep"), F.first("n").alias("n"), F.first("signature").alias("signature")), "known")
-    own = base.where("n > 0").join(known.select("id", F.col("rep").alias(key)), ["id", key])
-    tokens = own.select("id", F.explode("prefix").alias("token")).distinct()
-    tokens = scratch.save(tokens, "tokens")
-    buckets = tokens.groupBy("token").agg(F.count("*").alias("size"), F.min("id").alias("least")).where("size > 1")
+    made = scratch.save(nodes(docs, text, key, k, percent), "nodes")
+    base = scratch.save(made.select(key, "id", "n"), "base")
+    known = scratch.save(made.where("n > 0").groupBy("id").agg(F.min(key).alias("rep"), F.first("n").alias("n"), F.first("signature").alias("signature")), "known")
+    own = made.where("n > 0").join(known.select("id", F.col("rep").alias(key)), ["id", key])
+    tokens = scratch.save(own.dropDuplicates(["id"]).select("id", F.explode("prefix").alias("token")), "tokens")
+    scratch.drop("nodes")
+    buckets = scratch.save(tokens.groupBy("token").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most").select("token", "least"), "buckets")
     shared = scratch.save(tokens.join(buckets, "token"), "shared")
-    scratch.drop("tokens")
+    scratch.drop("tokens", "buckets")
     stars = scratch.save(_possible(shared.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct(), known, percent), "stars")
-    needed = shared.select("id").distinct().join(known, "id").select("id", F.col("rep").alias(key))
-
-    def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, j, data, offsets in T.slices(batch.column(1)):
-                found, first = shingle_sets(data, offsets, k)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([found[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["id", "tokens"])
-
-    texts = docs.select(F.col(key), F.col(text)).join(needed, key).select("id", text)
-    sets = scratch.save(texts.mapInArrow(tokens_of, "id long, tokens binary").dropDuplicates(["id"]), "sets")
-    first = scratch.save(verify(stars, sets, percent), "first")
+    first = verify(stars, known, docs, scratch, "first", text, key, k, percent)
     part = components(first, scratch, "part")
     labelled = shared.join(part, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_ = labelled.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("who"), F.count("*").alias("many")).where("c0 <> c1")
-    open_ = open_.groupBy("who", "many").agg(F.min("token").alias("token"))  # buckets of the same nodes are one
-    left = labelled.join(open_.select("token"), "token").join(known.select("id", "n", "signature"), "id")
+    who = F.sum(F.xxhash64("id").cast("decimal(20,0)"))
+    open_ = labelled.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), who.alias("who"), F.count("*").alias("size")).where("c0 <> c1")
+    open_ = open_.groupBy("who", "size").agg(F.min("token").alias("token"))  # buckets of the same nodes are one
+    left = labelled.join(open_.select("token", "size"), "token").join(known.select("id", "n", "signature"), "id")
     more = scratch.save(search(left, percent), "more")
-    second = scratch.save(verify(more, sets, percent), "second")
-    scratch.drop("stars", "more", "sets", "shared")
-    return base.select(key, "id", "n"), components(first.union(second), scratch, "all")
+    scratch.drop("stars", "shared")
+    second = verify(more, known, docs, scratch, "second", text, key, k, percent)
+    return base, components(first.union(second), scratch, "all")
 
 
 def join(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
