@@ -29,6 +29,8 @@ from .scratch import Scratch
 
 EDITS = 2
 MIN_CHARS = 20
+# The letters that are counted to tell lines apart.
+LETTERS = "etainrso"
 
 
 def _place(length: Column, i: int, parts: int) -> tuple[Column, Column]:
@@ -38,8 +40,8 @@ def _place(length: Column, i: int, parts: int) -> tuple[Column, Column]:
 
 
 def segment_keys(line: Column, length: Column, edits: int) -> Column:
-    """Array of (k, indexed): hashes of a line's segments, and of the substrings it probes with."""
-    keys = []
+    """Hashes of a line's segments, then of the substrings it probes with (null where they don't fit)."""
+    own, probes = [], []
     parts = edits + 1
     for shift in range(edits + 1):  # how much shorter the indexed line is
         for i in range(1, parts + 1):
@@ -49,11 +51,28 @@ def segment_keys(line: Column, length: Column, edits: int) -> Column:
                 at = start + move
                 k = F.xxhash64(length - shift, F.lit(i), F.substring(line, at, size))
                 if shift == 0 and move == 0:
-                    keys.append(F.struct(k.alias("k"), F.lit(True).alias("indexed")))
+                    own.append(k)
                 else:
-                    fits = (at >= 1) & (at + size - 1 <= length)
-                    keys.append(F.when(fits, F.struct(k.alias("k"), F.lit(False).alias("indexed"))))
-    return F.filter(F.array(*keys), lambda x: x.isNotNull())
+                    probes.append(F.when((at >= 1) & (at + size - 1 <= length), k))
+    return F.array(*own, *probes)
+
+
+def letters(line: Column) -> Column:
+    """How often a line has each of eight letters, modulo 256, packed into a long."""
+    counts = [(F.char_length(line) - F.char_length(F.replace(line, F.lit(c), F.lit("")))) % 256 for c in LETTERS]
+    packed = F.lit(0).cast("long")
+    for i, n in enumerate(counts):
+        packed = packed.bitwiseOR(F.shiftleft(n.cast("long"), 8 * i))
+    return packed
+
+
+def _may_be_near(x: str, y: str, edits: int) -> Column:
+    """An edit changes two of the counts by one at most."""
+    apart = F.lit(0)
+    for i in range(len(LETTERS)):
+        d = F.abs(F.shiftrightunsigned(x, 8 * i).bitwiseAND(F.lit(255)) - F.shiftrightunsigned(y, 8 * i).bitwiseAND(F.lit(255)))
+        apart = apart + F.least(d, 256 - d)
+    return apart <= 2 * edits
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
@@ -63,20 +82,23 @@ def _verified(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
 
 
 def line_links(lines: DataFrame, scratch: Scratch, edits: int = EDITS) -> DataFrame:
-    """(id, component) of the distinct ``lines`` (id, line, length) that are near others."""
-    keys = lines.select("id", F.explode(segment_keys(F.col("line"), F.col("length"), edits)).alias("s")).select("id", "s.k", "s.indexed")
+    """(id, component) of the distinct ``lines`` (id, line, length, letters) that are near others."""
+    keys = lines.select("id", F.posexplode(segment_keys(F.col("line"), F.col("length"), edits)).alias("pos", "k")).where("k is not null")
+    keys = keys.select("id", "k", (F.col("pos") <= edits).alias("indexed"))
     buckets = keys.groupBy("k").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.min(F.when(F.col("indexed"), F.col("id"))).alias("least"))
     buckets = scratch.save(buckets.where("lo <> hi and least is not null").select("k", "least"), "buckets")
-    shared = scratch.save(keys.join(buckets, "k").distinct(), "shared")
-    pair = (F.least("id", "least").alias("a"), F.greatest("id", "least").alias("b"))
-    first = scratch.save(_verified(shared.where("id <> least").select(*pair).distinct(), lines, edits), "first")
+    shared = scratch.save(keys.join(buckets, "k").distinct().join(lines.select("id", "letters"), "id"), "shared")
+    star = shared.join(lines.select(F.col("id").alias("least"), F.col("letters").alias("other")), "least").where(F.col("id") != F.col("least"))
+    star = star.where(_may_be_near("letters", "other", edits)).select(F.least("id", "least").alias("a"), F.greatest("id", "least").alias("b")).distinct()
+    first = scratch.save(_verified(star, lines, edits), "first")
     part = components(first, scratch, "part")
     labelled = shared.join(part, "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_ = labelled.groupBy("k").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.sum(F.xxhash64("id", "indexed").cast("decimal(20,0)")).alias("who"), F.count("*").alias("many")).where("c0 <> c1")
     left = labelled.join(open_.groupBy("who", "many").agg(F.min("k").alias("k")).select("k"), "k")
-    here = left.where("indexed").select("k", F.col("id").alias("i"), F.col("component").alias("ci"))
-    there = left.select("k", F.col("id").alias("p"), F.col("component").alias("cp"))
-    more = here.join(there, "k").where("ci <> cp").select(F.least("i", "p").alias("a"), F.greatest("i", "p").alias("b")).distinct()
+    here = left.where("indexed").select("k", F.col("id").alias("i"), F.col("component").alias("ci"), F.col("letters").alias("li"))
+    there = left.select("k", F.col("id").alias("p"), F.col("component").alias("cp"), F.col("letters").alias("lp"))
+    met = here.join(there, (here["k"] == there["k"]) & (F.col("ci") != F.col("cp")) & _may_be_near("li", "lp", edits))
+    more = met.select(F.least("i", "p").alias("a"), F.greatest("i", "p").alias("b")).distinct()
     second = scratch.save(_verified(more, lines, edits), "second")
     scratch.drop("buckets", "shared")
     return components(first.union(second), scratch, "all")
@@ -92,7 +114,7 @@ def removed(docs: DataFrame, text: str = "text", key: str = "doc_id", edits: int
     rows = docs.select(key, F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__hash"), F.posexplode(_split(docs, text)).alias("pos", "line"))
     rows = rows.withColumn("id", F.when(F.char_length("line") >= min_chars, F.xxhash64("line")))
     places = scratch.save(rows.select(key, "__hash", "pos", "id"), "places")
-    lines = rows.where("id is not null").groupBy("id").agg(F.first("line").alias("line")).withColumn("length", F.char_length("line"))
+    lines = rows.where("id is not null").groupBy("id").agg(F.first("line").alias("line")).withColumn("length", F.char_length("line")).withColumn("letters", letters(F.col("line")))
     lines = scratch.save(lines, "distinct")
     linked = line_links(lines, scratch, edits)
     scratch.drop("distinct")
