@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, lines, media, mixing, packing, quality, repetition, secrets
+from . import jaccard, lines, media, mixing, packing, quality, repetition, secrets, suffix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digest(_table(spark, sf_dir, "documents"))
+
+
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(_table(spark, sf_dir, "documents"))
 
@@ -43,5 +47,5 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored(_table(spark, sf_dir, "documents"), with_media=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op4_secrets, op5_mixing, op7_lines, op8_jaccard, op9_repetition, op10_media)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op4_secrets, op5_mixing, op6_suffix, op7_lines, op8_jaccard, op9_repetition, op10_media)}
 ORACLE_SQL: dict[str, str] = {}
