@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, lines, media, mixing, packing, quality, repetition, secrets, suffix
+from . import jaccard, lines, media, mixing, packing, passages, quality, repetition, secrets, suffix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passages(_table(spark, sf_dir, "documents"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents")))
 
@@ -47,5 +51,5 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored(_table(spark, sf_dir, "documents"), with_media=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op4_secrets, op5_mixing, op6_suffix, op7_lines, op8_jaccard, op9_repetition, op10_media)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op3_passages, op4_secrets, op5_mixing, op6_suffix, op7_lines, op8_jaccard, op9_repetition, op10_media)}
 ORACLE_SQL: dict[str, str] = {}
