@@ -136,7 +136,7 @@ def mixed(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str
     A pass that takes all words gives the text as it is, any other one the taken
     words in order, joined by spaces.
     """
-    cut = parts(docs, text, key, source, **options).where("uses > 0")
+    cut = parts(docs, text, key, source, **options).where("uses > 0 and words > 0")
     piece = F.struct(F.col("at"), F.col("words"), F.col("uses"))
     took = cut.groupBy(key, source, "__hash", "__copy").agg(F.sort_array(F.collect_list(piece)).alias("__parts"), F.first("size").alias("__size"), F.max("uses").alias("__most"))
     rows = _numbered(docs, text, key, source).alias("d").join(took.alias("t"), [F.col(f"d.`{c}`").eqNullSafe(F.col(f"t.`{c}`")) for c in (key, source, "__hash", "__copy")])
