@@ -37,6 +37,8 @@ WIDTH = 100
 GRAM = 20
 #: Bytes of distinct runs in a shard, about; what decides the number of shards.
 SHARD_BYTES = 1 << 20
+#: Names of a reduced text up to which it is sorted by recursion; beyond, buckets are too many and too small for numpy.
+RECURSE = 1024
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -44,9 +46,9 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     n = len(text)
     if n == 0:
         return np.zeros(0, np.int64)
-    _, text = np.unique(text, return_inverse=True)
-    text = np.append(text.astype(np.int64) + 1, 0)  # a least last symbol
-    return _induced(text, int(text.max()) + 1)[1:]
+    used = np.bincount(text) > 0
+    text = np.append(np.cumsum(used)[text], 0)  # symbols from 1, and a least last one
+    return _induced(text, int(used.sum()) + 1)[1:]
 
 
 def _induced(text: np.ndarray, symbols: int) -> np.ndarray:
@@ -69,13 +71,11 @@ def _induced(text: np.ndarray, symbols: int) -> np.ndarray:
     tail = np.cumsum(count)
     head = tail - count
     order = _induce(text, small, lms, head, tail)
-    sorted_lms = order[np.isin(order, lms)] if len(lms) < n // 8 else order[_is(lms, n)[order]]
+    sorted_lms = order[_is(lms, n)[order]]
     names, distinct = _names(text, small, lms, sorted_lms)
     if distinct < len(lms):
         reduced = names[lms]
-        sorted_lms = lms[_induced(reduced, distinct) if distinct <= 256 else _doubled(reduced)]
-    else:
-        return _induce(text, small, sorted_lms, head, tail)
+        sorted_lms = lms[_induced(reduced, distinct) if distinct <= RECURSE else _doubled(reduced)]
     return _induce(text, small, sorted_lms, head, tail)
 
 
@@ -92,7 +92,7 @@ def _doubled(text: np.ndarray) -> np.ndarray:
         second = np.full(n, -1, np.int64)
         second[: n - k] = rank[k:]
         key = rank * (n + 2) + second + 1
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         fresh = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
         rank = np.empty(n, np.int64)
         rank[order] = fresh
@@ -127,7 +127,7 @@ def _names(text: np.ndarray, small: np.ndarray, lms: np.ndarray, order: np.ndarr
 def _spread(text: np.ndarray, before: np.ndarray, put: np.ndarray, sa: np.ndarray, up: bool) -> None:
     """Puts places in their symbols' buckets in order, from the heads up or from the tails down."""
     symbol = text[before]
-    order = np.argsort(symbol, kind="stable")
+    order = np.argsort(symbol.astype(np.uint16), kind="stable")  # a radix sort
     before, symbol = before[order], symbol[order]
     first = np.flatnonzero(np.concatenate([[True], symbol[1:] != symbol[:-1]]))
     size = np.diff(np.append(first, len(symbol)))
