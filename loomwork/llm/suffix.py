@@ -277,15 +277,15 @@ def _covers(docs: DataFrame, text: str, key: str, width: int, gram: int, scratch
 
     found = scratch.save(docs.select(F.col(key), F.col(text)).mapInArrow(find, f"`{key}` {kind}, start long, n int, m long, content long, twice boolean"), "runs")
     hot = scratch.save(found.groupBy("m").agg(F.count("*").alias("many"), F.max("twice").alias("twice")).where("many > 1 or twice").select("m"), "hot")
-    found = scratch.save(found.join(hot, "m"), "met")
+    found = scratch.save(found.join(hot.hint("merge"), "m"), "met")  # one plan at every size
     scratch.drop("runs", "hot")
     place = F.struct(key, "start")
     firsts = found.groupBy("m", "content").agg(F.min(place).alias("first"), F.max("n").alias("n"), F.max("twice").alias("twice"))
     firsts = scratch.save(firsts, "firsts")
-    again = found.join(firsts.select("m", "content", "first"), ["m", "content"]).where(~place.eqNullSafe(F.col("first")))
+    again = found.join(firsts.select("m", "content", "first").hint("merge"), ["m", "content"]).where(~place.eqNullSafe(F.col("first")))
     again = again.select(key, "start", (F.col("start") + F.col("n") + width - 1).alias("stop"))
     shards = firsts.groupBy("m").agg(F.count("*").alias("many"), F.max("twice").alias("twice")).where("many > 1 or twice").select("m")
-    left = firsts.join(shards, "m").select(F.col(f"first.`{key}`").alias(key), "first.start", "n", "m")
+    left = firsts.join(shards.hint("merge"), "m").select(F.col(f"first.`{key}`").alias(key), "first.start", "n", "m")
     left = scratch.save(left, "left")
     total = left.agg(F.sum(F.col("n") + width - 1)).first()[0] or 0
     number = max(1, -(-int(total) // SHARD_BYTES))
