@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -85,3 +86,86 @@ def newton_logistic(df: DataFrame, features: Sequence[str], label: str, penalty:
             break
         w, (loss, g, h) = w - size * step, there
     return w
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the cluster's checkpoint folder, which lost executors don't touch; a local folder where none is set."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomwork-"))
+    return df.checkpoint()
+
+
+def gradient_descent(df: DataFrame, features: Sequence[str], label: str, steps: int, rate: float, start: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Full-batch descent on half the mean squared error, and its value: one pass, as the gradient needs only sums."""
+    a, b, n = gram(df, features, label)
+    yy = float(df.agg(F.sum(F.col(label).cast("double") ** 2)).first()[0] or 0.0)
+    w, n = np.zeros(len(b)) if start is None else np.asarray(start, float), max(1, n)
+    for _ in range(steps):
+        w = w - rate * (a @ w - b) / n
+    return w, float((w @ a @ w - 2 * w @ b + yy) / (2 * n))
+
+
+class Logistic:
+    """Mean weighted logistic loss and gradient, a job each time; labels 0 and 1, positives weighing ``positive``."""
+
+    def __init__(self, df: DataFrame, features: Sequence[str], label: str, penalty: float = 0.0, positive: float = 1.0):
+        self.data, self.d, self.penalty, self.positive = _design(df, features, label), len(features) + 1, penalty, positive
+
+    def __call__(self, w: np.ndarray) -> tuple[float, np.ndarray]:
+        """With the penalty, which covers the bias."""
+        positive, d = self.positive, self.d
+
+        def run(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            s, z = np.where(y == 1, positive, 1.0), x @ w
+            p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+            return np.column_stack([x.T @ (s * (p - y)), np.full(d, s @ (np.logaddexp(0, z) - y * z)), np.full(d, s.sum())])
+
+        sums = _sum_rows(self.data, run, d, 3)
+        n = sums[0, 2] or 1.0
+        return sums[0, 1] / n + self.penalty * w @ w, sums[:, 0] / n + 2 * self.penalty * w
+
+
+def logistic_descent(f: Logistic, steps: int, rate: float, start: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Fixed steps; the loss comes without the penalty."""
+    w = np.zeros(f.d) if start is None else np.asarray(start, float)
+    for _ in range(steps):
+        w = w - rate * f(w)[1]
+    return w, float(f(w)[0] - f.penalty * w @ w)
+
+
+def adaptive_descent(f: Logistic, steps: int, rate: float = 1.0, start: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Barzilai-Borwein steps within [1e-10, 1e10], halved until the loss falls enough."""
+    w = np.zeros(f.d) if start is None else np.asarray(start, float)
+    loss, g = f(w)
+    for _ in range(steps):
+        if g @ g < 1e-24:
+            break
+        size = rate
+        while size > 1e-12:
+            there, slope = f(w - size * g)
+            if there <= loss - 1e-4 * size * g @ g:
+                break
+            size /= 2
+        else:
+            break
+        moved, bent = -size * g, slope - g
+        w, loss, g = w + moved, there, slope
+        rate = float(np.clip(moved @ moved / max(moved @ bent, 1e-300), 1e-10, 1e10))
+    return w, float(loss - f.penalty * w @ w)
+
+
+def extra_gradient(f: Logistic, steps: int, radius: float = 10.0, start: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Universal extra-gradient in a ball: two jobs a step, steps from the gradients' differences, a weighted mean as result."""
+    project = lambda v: v * min(1.0, radius / max(float(np.linalg.norm(v)), 1e-300))
+    y = project(np.zeros(f.d) if start is None else np.asarray(start, float))
+    mean, weight, spent, diameter = np.zeros(f.d), 0.0, 0.0, 2 * radius
+    for t in range(1, steps + 1):
+        eta = 2 * diameter / np.sqrt(1 + spent)
+        m = f((t * y + mean) / (weight + t))[1]
+        x = project(y - eta * t * m)
+        g = f((t * x + mean) / (weight + t))[1]
+        y = project(y - eta * t * g)
+        mean, weight, spent = mean + t * x, weight + t, spent + t * t * float((g - m) @ (g - m))
+    w = mean / max(weight, 1.0)
+    return w, float(f(w)[0] - f.penalty * w @ w)
