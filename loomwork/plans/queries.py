@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cleaning, linear, metrics, sampling, statistics
+from ..operators import cleaning, linear, metrics, profiles, sampling, statistics, trees, validation
+from ..sources import survey
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -134,6 +135,67 @@ def newton_full(spark, sf_dir):
     return spark.createDataFrame(list(enumerate(map(float, linear.newton_logistic(d, ["a", "b"], "y")))), "i int, weight double")
 
 
+def every_nth_row(spark, sf_dir):
+    return survey.every_nth(_t(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 50)
+
+
+def column_profile(spark, sf_dir):
+    p = profiles.constancy(profiles.column_profile(statistics.value_histogram(_coded(spark, sf_dir), ["code", "price"])))
+    return p.where("column = 'code' or distinct > 0").select("column", "n", "distinct", F.round("missing", 6).alias("missing"), "top_value", F.round("top_share", 6).alias("top_share"), "status")
+
+
+def leakage_scan(spark, sf_dir):
+    d = profiles.leakage(_coded(spark, sf_dir), ["code"], F.col("y"), 0.48, 30)
+    return d.select("column", "value", "n", F.round("rate", 6).alias("rate"))
+
+
+def determination(spark, sf_dir):
+    n = _t(spark, sf_dir, "nation")
+    d = profiles.determination(n, "n_nationkey", "n_regionkey")
+    return d.select(*(F.round(c, 6).alias(c) for c in d.columns))
+
+
+def best_rule_f1(spark, sf_dir):
+    return profiles.best_rule_f1(_coded(spark, sf_dir), "code", F.col("y")).select(F.round("f1", 6).alias("f1"))
+
+
+def pairwise_corr(spark, sf_dir):
+    d = _t(spark, sf_dir, "lineitem").select(F.when(F.col("l_orderkey") % 7 != 0, F.col("l_quantity")).alias("quantity"), F.when(F.col("l_orderkey") % 5 != 0, F.col("l_extendedprice")).alias("price"), F.col("l_discount").alias("discount"))
+    names = d.columns
+    r, n = profiles.pairwise_correlation(d, names)
+    return spark.createDataFrame([(names[i], names[j], int(n[i, j]), round(float(r[i, j]), 5)) for i in range(3) for j in range(i)], "a string, b string, n long, r double")
+
+
+def _labelled(spark, sf_dir):
+    """Line items with three numbers and whether they came back."""
+    return _t(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.col("l_quantity").alias("a"), F.col("l_discount").alias("b"), F.datediff(F.col("l_shipdate"), F.lit("1992-01-01")).alias("c"), (F.col("l_returnflag") == "R").cast("int").alias("y"))
+
+
+def boosted_trees(spark, sf_dir):
+    d = _labelled(spark, sf_dir)
+    return d.select("id", trees.gradient_boosting(d, ["a", "b", "c"], "y", "id", n_trees=5, depth=3).probability().alias("score"))
+
+
+def forest(spark, sf_dir):
+    d = _labelled(spark, sf_dir)
+    return d.select("id", trees.random_forest(d, ["a", "b", "c"], "y", "id", n_trees=10, depth=5).probability().alias("score"))
+
+
+def hybrid_trees(spark, sf_dir):
+    d = _labelled(spark, sf_dir)
+    model, margin = trees.logistic_boosting(d, ["a", "b", "c"], "y", "id", n_trees=3)
+    return d.select("id", model.probability(margin).alias("score"))
+
+
+def ridge_cv(spark, sf_dir):
+    def fit(train, penalty):
+        w = linear.ridge(train, ["a", "b", "c"], "y", [penalty])[penalty]
+        return sum((F.col(c) * float(v) for c, v in zip("abc", w[1:], strict=True)), F.lit(float(w[0])))
+
+    found = validation.grid_search(_labelled(spark, sf_dir), "y", "id", validation.param_grid(penalty=[1e-3, 1e-1]), fit, 3)
+    return spark.createDataFrame([(r["penalty"], r["f1"], r["std"]) for r in found], "penalty double, f1 double, std double")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents joined with their labels, cleaned, standardised, scored and cut at the best F1."""
     d = _t(spark, sf_dir, "documents").join(_t(spark, sf_dir, "labels"), "doc_id")
@@ -173,9 +235,16 @@ ORACLE_SQL = {
     "stratified_kfold": f"SELECT o_orderkey, y, CASE WHEN r < (c % 5) * (c // 5 + 1) THEN r // (c // 5 + 1) ELSE c % 5 + (r - (c % 5) * (c // 5 + 1)) // (c // 5) END::INT AS fold FROM (SELECT o_orderkey, y, {_RANKED} AS r, count(*) OVER (PARTITION BY y) AS c FROM {_CODED})",
     "undersample_exact": f"SELECT o_orderkey, y FROM (SELECT o_orderkey, y, {_RANKED} AS r, sum(y) OVER () AS p FROM (SELECT o_orderkey, (o_orderpriority = '1-URGENT')::INT AS y FROM orders)) WHERE y = 1 OR r < round(1.5 * p)",
     "gram_matrix": "SELECT count(*) AS n, round(sum(a), 3) AS sa, round(sum(b), 3) AS sb, round(sum(a * a), 3) AS saa, round(sum(a * b), 3) AS sab, round(sum(b * b), 3) AS sbb, round(sum(y), 3)::DOUBLE AS sy, round(sum(a * y), 3) AS say, round(sum(b * y), 3) AS sby FROM (SELECT l_quantity / 10 AS a, l_discount AS b, (l_returnflag = 'R')::INT AS y FROM lineitem)",
+    "every_nth_row": "SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS r FROM orders) WHERE r % 50 = 0",
+    "column_profile": f"WITH v AS (SELECT 'code' AS c, code AS v FROM {_CODED} UNION ALL SELECT 'price', price FROM {_CODED}), g AS (SELECT c, v, count(*) AS n FROM v GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY n DESC, v IS NULL DESC, v) AS k FROM g), p AS (SELECT c AS \"column\", sum(n)::BIGINT AS n, count(v) AS \"distinct\", coalesce(sum(n) FILTER (v IS NULL), 0) / sum(n) AS m, max(v) FILTER (k = 1) AS top_value, max(n) / sum(n) AS t FROM r GROUP BY c) SELECT \"column\", n, \"distinct\", round(m, 6) AS missing, top_value, round(t, 6) AS top_share, CASE WHEN \"distinct\" = 0 THEN 'all missing' WHEN \"distinct\" = 1 AND m = 0 THEN 'constant' WHEN \"distinct\" = 1 THEN 'one value' WHEN top_value IS NOT NULL AND t > 0.99 THEN 'near-constant' WHEN m > 0.5 THEN 'mostly missing' ELSE 'varied' END AS status FROM p",
+    "leakage_scan": f"SELECT 'code' AS \"column\", code AS value, count(*) AS n, round(avg(y::INT), 6) AS rate FROM {_CODED} GROUP BY code HAVING count(*) >= 30 AND avg(y::INT) >= 0.48",
+    "determination": "WITH j AS (SELECT n_nationkey AS a, n_regionkey AS b, count(*) AS n FROM nation GROUP BY ALL), t AS (SELECT sum(n) AS t FROM j), h AS (SELECT (SELECT -sum(n / t * log2(n / t)) FROM (SELECT a, sum(n) AS n FROM j GROUP BY a), t) AS ha, (SELECT -sum(n / t * log2(n / t)) FROM (SELECT b, sum(n) AS n FROM j GROUP BY b), t) AS hb, (SELECT -sum(n / t * log2(n / t)) FROM j, t) AS hj) SELECT round((ha + hb - hj) / hb, 6) AS b_by_a, round((ha + hb - hj) / ha, 6) AS a_by_b FROM h",
+    "best_rule_f1": f"SELECT round(max(2.0::DOUBLE * tp / (called + pos)), 6) AS f1 FROM (SELECT sum(p) OVER w AS tp, sum(n) OVER w AS called, sum(p) OVER () AS pos FROM (SELECT code, count(*) AS n, sum(y::INT) AS p FROM {_CODED} GROUP BY code) WINDOW w AS (ORDER BY p / n DESC, code NULLS FIRST ROWS UNBOUNDED PRECEDING))",
+    "pairwise_corr": "WITH d AS (SELECT CASE WHEN l_orderkey % 7 <> 0 THEN l_quantity END AS quantity, CASE WHEN l_orderkey % 5 <> 0 THEN l_extendedprice END AS price, l_discount AS discount FROM lineitem) SELECT 'price' AS a, 'quantity' AS b, count(*) FILTER (price IS NOT NULL AND quantity IS NOT NULL) AS n, round(corr(price, quantity), 5) AS r FROM d UNION ALL SELECT 'discount', 'quantity', count(quantity), round(corr(discount, quantity), 5) FROM d UNION ALL SELECT 'discount', 'price', count(price), round(corr(discount, price), 5) FROM d",
 }
 
 QUERIES = {f.__name__: f for f in (
     codes_to_null, unit_codes, month_codes, skip_logic_chain, bin_digitize, missing_rate_diff, impute_median, impute_mode, one_hot_min_rows, standardize_pop, value_histogram, entropy_mi, tvd_shift,
-    prevalence_by_value, prevalence_lookup, confusion, prf_fbeta, best_threshold, log_loss, stratified_kfold, undersample_exact, gram_matrix, newton_full, flagship,
+    prevalence_by_value, prevalence_lookup, confusion, prf_fbeta, best_threshold, log_loss, stratified_kfold, undersample_exact, gram_matrix, newton_full, every_nth_row, column_profile, leakage_scan, determination, best_rule_f1, pairwise_corr,
+    boosted_trees, forest, hybrid_trees, ridge_cv, flagship,
 )}

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomwork.operators import linear, profiles, statistics, trees, validation
+from loomwork.plans import queries as plans
 from loomwork.sources import survey
 
 
@@ -115,3 +116,10 @@ def test_survey_files(spark, tmp_path):
     with pytest.raises(ValueError):
         survey.write_submission(out.withColumn("Prediction", F.lit(0)), f"{tmp_path}/t")
     assert [r.id for r in survey.every_nth(spark.range(205), "id").orderBy("id").collect()] == [0, 50, 100, 150, 200]
+
+
+@pytest.mark.parametrize("name", ["boosted_trees", "forest", "hybrid_trees", "ridge_cv"])
+def test_queries_of_models(spark, name):
+    got = plans.QUERIES[name](spark, "/root/testdata/sf0.001").toPandas()
+    assert len(got) and not got.isna().any().any()
+    assert name == "ridge_cv" or len(got) == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
