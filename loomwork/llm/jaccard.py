@@ -5,8 +5,9 @@ are one node. Two nodes can only be similar if they share a shingle of their
 prefixes, taken in an order that puts frequent shingles last (from a sketch of
 fixed size), so that passages which many documents share make no large buckets.
 
-Links are found in two steps. First every node is compared with the least node
-of each bucket it is in, which joins large groups of near copies in linear work.
+Links are found in steps. First every node is compared, a few times, with the one
+hub (a node drawn from each bucket) that it shares most prefix shingles with and
+that is in another component, which joins large groups of near copies in linear work.
 Then the buckets that still hold more than one component are searched by
 signature trees: nodes hold OR-combined token bitmaps, size ranges and the most
 tokens that share a bit; pairs of nodes are descended together, and left when the
@@ -41,6 +42,8 @@ SIGNATURE = 2048
 #: Nodes of a bucket that are searched together at most (pairs of blocks: twice as many).
 BLOCK = 256
 FAN = 8
+#: Steps in which each node meets one hub before the trees are searched.
+ROUNDS = 2
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -284,6 +287,31 @@ def _possible(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "na", "sa", "nb", "sb").mapInArrow(run, "a long, b long")
 
 
+def _open(members: DataFrame, part: DataFrame | None, step: int) -> DataFrame:
+    """Members of the buckets that hold more than one component, each with the bucket's size, weight and hub.
+
+    ``members``: (token, weight, id); buckets of the same nodes become one of their
+    summed weight. The hub is the node of the least hash, another one at each step.
+    """
+    members = members.select("token", "weight", "id")
+    if part is None:
+        labelled = members.withColumn("component", F.col("id"))
+    else:
+        labelled = members.join(part, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    hub = F.min(F.struct(F.xxhash64("id", F.lit(step)).alias("h"), "id", "component")).alias("hub")
+    who = F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("who")
+    mixed = labelled.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), who, F.count("*").alias("size"), F.first("weight").alias("weight"), hub)
+    mixed = mixed.where("c0 <> c1").groupBy("who", "size").agg(F.min("token").alias("token"), F.sum("weight").alias("weight"), F.first("hub").alias("hub"))
+    return labelled.drop("weight").join(mixed.drop("who"), "token").select("token", "weight", "size", "id", "component", F.col("hub.id").alias("hub"), F.col("hub.component").alias("theirs"))
+
+
+def _voted(members: DataFrame) -> DataFrame:
+    """Pairs (a, b): each node with the hub of another component that it shares most prefix shingles with."""
+    votes = members.where("component <> theirs").groupBy("id", "hub").agg(F.sum("weight").alias("votes"))
+    best = votes.groupBy("id").agg(F.max(F.struct("votes", "hub"))["hub"].alias("hub"))
+    return best.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+
+
 def link(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(key, id, n) of each document and (id, component) of the sets that link with others."""
     scratch = Scratch(docs.sparkSession, "jaccard")
@@ -291,23 +319,22 @@ def link(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = WORD
     base = scratch.save(made.select(key, "id", "n"), "base")
     known = scratch.save(made.where("n > 0").groupBy("id").agg(F.min(key).alias("rep"), F.first("n").alias("n"), F.first("signature").alias("signature")), "known")
     own = made.where("n > 0").join(known.select("id", F.col("rep").alias(key)), ["id", key])
-    tokens = scratch.save(own.dropDuplicates(["id"]).select("id", F.explode("prefix").alias("token")), "tokens")
+    members = scratch.save(own.dropDuplicates(["id"]).select("id", F.explode("prefix").alias("token"), F.lit(1).cast("long").alias("weight")), "tokens")
     scratch.drop("nodes")
-    buckets = scratch.save(tokens.groupBy("token").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most").select("token", "least"), "buckets")
-    shared = scratch.save(tokens.join(buckets, "token"), "shared")
-    scratch.drop("tokens", "buckets")
-    stars = scratch.save(_possible(shared.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct(), known, percent), "stars")
-    first = verify(stars, known, docs, scratch, "first", text, key, k, percent)
-    part = components(first, scratch, "part")
-    labelled = shared.join(part, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    who = F.sum(F.xxhash64("id").cast("decimal(20,0)"))
-    open_ = labelled.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), who.alias("who"), F.count("*").alias("size")).where("c0 <> c1")
-    open_ = open_.groupBy("who", "size").agg(F.min("token").alias("token"))  # buckets of the same nodes are one
-    left = labelled.join(open_.select("token", "size"), "token").join(known.select("id", "n", "signature"), "id")
-    more = scratch.save(search(left, percent), "more")
-    scratch.drop("stars", "shared")
-    second = verify(more, known, docs, scratch, "second", text, key, k, percent)
-    return base, components(first.union(second), scratch, "all")
+    links, part, before = None, None, "tokens"
+    for step in range(ROUNDS + 1):
+        members = scratch.save(_open(members, part, step), f"open-{step}")
+        scratch.drop(before)
+        before = f"open-{step}"
+        if step < ROUNDS:
+            pairs = _possible(_voted(members), known, percent)
+        else:
+            pairs = search(members.join(known.select("id", "n", "signature"), "id"), percent)
+        found = verify(scratch.save(pairs, f"pairs-{step}"), known, docs, scratch, f"links-{step}", text, key, k, percent)
+        scratch.drop(f"pairs-{step}")
+        links = found if links is None else links.union(found)
+        part = components(links, scratch, f"part-{step}")
+    return base, part
 
 
 def join(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
