@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .links import components
+from .links import components, ranked
 from .scratch import Scratch
 
 WORDS = 5
@@ -298,17 +298,17 @@ def _open(members: DataFrame, part: DataFrame | None, step: int) -> DataFrame:
         labelled = members.withColumn("component", F.col("id"))
     else:
         labelled = members.join(part, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    hub = F.min(F.struct(F.xxhash64("id", F.lit(step)).alias("h"), "id", "component")).alias("hub")
+    drawn = F.xxhash64("id", F.lit(step))
     who = F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("who")
-    mixed = labelled.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), who, F.count("*").alias("size"), F.first("weight").alias("weight"), hub)
-    mixed = mixed.where("c0 <> c1").groupBy("who", "size").agg(F.min("token").alias("token"), F.sum("weight").alias("weight"), F.first("hub").alias("hub"))
-    return labelled.drop("weight").join(mixed.drop("who"), "token").select("token", "weight", "size", "id", "component", F.col("hub.id").alias("hub"), F.col("hub.component").alias("theirs"))
+    mixed = labelled.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), who, F.count("*").alias("size"), F.first("weight").alias("weight"), F.min_by("id", drawn).alias("hub"), F.min_by("component", drawn).alias("theirs"))
+    mixed = mixed.where("c0 <> c1").groupBy("who", "size").agg(F.min("token").alias("token"), F.sum("weight").alias("weight"), F.min("hub").alias("hub"), F.min("theirs").alias("theirs"))
+    return labelled.drop("weight").join(mixed.drop("who"), "token").select("token", "weight", "size", "id", "component", "hub", "theirs")
 
 
 def _voted(members: DataFrame) -> DataFrame:
     """Pairs (a, b): each node with the hub of another component that it shares most prefix shingles with."""
     votes = members.where("component <> theirs").groupBy("id", "hub").agg(F.sum("weight").alias("votes"))
-    best = votes.groupBy("id").agg(F.max(F.struct("votes", "hub"))["hub"].alias("hub"))
+    best = votes.groupBy("id").agg(F.max_by("hub", ranked("votes", "hub")).alias("hub"))
     return best.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
 
 
@@ -319,9 +319,12 @@ def link(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = WORD
     base = scratch.save(made.select(key, "id", "n"), "base")
     known = scratch.save(made.where("n > 0").groupBy("id").agg(F.min(key).alias("rep"), F.first("n").alias("n"), F.first("signature").alias("signature")), "known")
     own = made.where("n > 0").join(known.select("id", F.col("rep").alias(key)), ["id", key])
-    members = scratch.save(own.dropDuplicates(["id"]).select("id", F.explode("prefix").alias("token"), F.lit(1).cast("long").alias("weight")), "tokens")
+    tokens = scratch.save(own.dropDuplicates(["id"]).select("id", F.explode("prefix").alias("token")), "tokens")
     scratch.drop("nodes")
-    links, part, before = None, None, "tokens"
+    buckets = tokens.groupBy("token").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("token")
+    members = scratch.save(tokens.join(buckets, "token").withColumn("weight", F.lit(1).cast("long")), "shared")
+    scratch.drop("tokens")
+    links, part, before = None, None, "shared"
     for step in range(ROUNDS + 1):
         members = scratch.save(_open(members, part, step), f"open-{step}")
         scratch.drop(before)

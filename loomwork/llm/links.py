@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
 
+def ranked(votes: str, who: str) -> Column:
+    """A long that orders by ``votes``, equal ones by a hash of ``who``."""
+    return F.shiftleft(F.col(votes).cast("long"), 40).bitwiseOR(F.xxhash64(who).bitwiseAND(F.lit((1 << 40) - 1)))
+
+
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(id, component) of every id in ``links`` (a, b): the least id that links reach.
 
