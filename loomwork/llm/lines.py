@@ -4,9 +4,10 @@ Distinct lines are cut into ``edits + 1`` segments. Two lines within ``edits`` e
 share a segment, at a place that lengths bound: each line indexes its own
 segments under its length and probes those substrings of its own that could be a
 segment of an equally long or shorter line. Keys that only one line has fall out by
-aggregation. Links are found in two steps, so that large groups of variants take
-linear work: each line against the least line of a key, then, in keys that still
-hold more than one component, lines of different components. Candidates are
+aggregation. Links are found in steps, so that large groups of variants take linear
+work: each line, a few times, against the one hub (a line drawn from each key) that
+it shares most keys with; then, in keys that still hold more than one component,
+lines of different components. Candidates are
 verified by Spark's banded edit distance with a threshold.
 
 Lines of a component are one line; its first occurrence (least key, then place)
@@ -24,13 +25,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .links import components
+from .links import components, ranked
 from .scratch import Scratch
 
 EDITS = 2
 MIN_CHARS = 20
 # The letters that are counted to tell lines apart.
 LETTERS = "etainrso"
+#: Steps in which each line meets one hub before the lines of a key meet each other.
+ROUNDS = 2
 
 
 def _place(length: Column, i: int, parts: int) -> tuple[Column, Column]:
@@ -81,27 +84,59 @@ def _verified(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where(near).select("a", "b")
 
 
+def _open(members: DataFrame, part: DataFrame | None, step: int) -> DataFrame:
+    """Members of the keys whose lines are in more than one component, each with the key's weight and hub.
+
+    ``members``: (k, weight, id, indexed, letters); keys of the same lines become one
+    of their summed weight. The hub is the indexed line of the least hash, another one
+    at each step.
+    """
+    members = members.select("k", "weight", "id", "indexed", "letters")
+    if part is None:
+        labelled = members.withColumn("component", F.col("id"))
+    else:
+        labelled = members.join(part, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    drawn = F.when(F.col("indexed"), F.xxhash64("id", F.lit(step)))
+    hub = [F.min_by(c, drawn).alias(n) for c, n in (("id", "hub"), ("component", "theirs"), ("letters", "other"))]
+    who = F.sum(F.xxhash64("id", "indexed").cast("decimal(20,0)")).alias("who")
+    mixed = labelled.groupBy("k").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), who, F.count("*").alias("many"), F.first("weight").alias("weight"), *hub)
+    mixed = mixed.where("c0 <> c1").groupBy("who", "many").agg(F.min("k").alias("k"), F.sum("weight").alias("weight"), *(F.min(c).alias(c) for c in ("hub", "theirs", "other")))
+    return labelled.drop("weight").join(mixed.drop("who", "many"), "k")
+
+
+def _voted(members: DataFrame, edits: int) -> DataFrame:
+    """Pairs (a, b): each line with the hub of another component that it shares most keys with."""
+    votes = members.where((F.col("component") != F.col("theirs")) & _may_be_near("letters", "other", edits)).groupBy("id", "hub").agg(F.sum("weight").alias("votes"))
+    best = votes.groupBy("id").agg(F.max_by("hub", ranked("votes", "hub")).alias("hub"))
+    return best.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+
+
+def _met(members: DataFrame, edits: int) -> DataFrame:
+    """Pairs (a, b) of lines of one key and different components."""
+    here = members.where("indexed").select("k", F.col("id").alias("i"), F.col("component").alias("ci"), F.col("letters").alias("li"))
+    there = members.select("k", F.col("id").alias("p"), F.col("component").alias("cp"), F.col("letters").alias("lp"))
+    met = here.join(there, (here["k"] == there["k"]) & (F.col("ci") != F.col("cp")) & _may_be_near("li", "lp", edits))
+    return met.select(F.least("i", "p").alias("a"), F.greatest("i", "p").alias("b")).distinct()
+
+
 def line_links(lines: DataFrame, scratch: Scratch, edits: int = EDITS) -> DataFrame:
     """(id, component) of the distinct ``lines`` (id, line, length, letters) that are near others."""
-    keys = lines.select("id", F.posexplode(segment_keys(F.col("line"), F.col("length"), edits)).alias("pos", "k")).where("k is not null")
-    keys = keys.select("id", "k", (F.col("pos") <= edits).alias("indexed"))
-    buckets = keys.groupBy("k").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.min(F.when(F.col("indexed"), F.col("id"))).alias("least"))
-    buckets = scratch.save(buckets.where("lo <> hi and least is not null").select("k", "least"), "buckets")
-    shared = scratch.save(keys.join(buckets, "k").distinct().join(lines.select("id", "letters"), "id"), "shared")
-    star = shared.join(lines.select(F.col("id").alias("least"), F.col("letters").alias("other")), "least").where(F.col("id") != F.col("least"))
-    star = star.where(_may_be_near("letters", "other", edits)).select(F.least("id", "least").alias("a"), F.greatest("id", "least").alias("b")).distinct()
-    first = scratch.save(_verified(star, lines, edits), "first")
-    part = components(first, scratch, "part")
-    labelled = shared.join(part, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_ = labelled.groupBy("k").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.sum(F.xxhash64("id", "indexed").cast("decimal(20,0)")).alias("who"), F.count("*").alias("many")).where("c0 <> c1")
-    left = labelled.join(open_.groupBy("who", "many").agg(F.min("k").alias("k")).select("k"), "k")
-    here = left.where("indexed").select("k", F.col("id").alias("i"), F.col("component").alias("ci"), F.col("letters").alias("li"))
-    there = left.select("k", F.col("id").alias("p"), F.col("component").alias("cp"), F.col("letters").alias("lp"))
-    met = here.join(there, (here["k"] == there["k"]) & (F.col("ci") != F.col("cp")) & _may_be_near("li", "lp", edits))
-    more = met.select(F.least("i", "p").alias("a"), F.greatest("i", "p").alias("b")).distinct()
-    second = scratch.save(_verified(more, lines, edits), "second")
-    scratch.drop("buckets", "shared")
-    return components(first.union(second), scratch, "all")
+    keys = lines.select("id", "letters", F.posexplode(segment_keys(F.col("line"), F.col("length"), edits)).alias("pos", "k")).where("k is not null")
+    keys = keys.select("id", "letters", "k", (F.col("pos") <= edits).alias("indexed"))
+    buckets = keys.groupBy("k").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("indexed").alias("has"))
+    buckets = scratch.save(buckets.where("lo <> hi and has").select("k"), "buckets")
+    members = scratch.save(keys.join(buckets, "k").distinct().withColumn("weight", F.lit(1).cast("long")), "shared")
+    links, part, before = None, None, "shared"
+    for step in range(ROUNDS + 1):
+        members = scratch.save(_open(members, part, step), f"open-{step}")
+        scratch.drop(before)
+        before = f"open-{step}"
+        pairs = _voted(members, edits) if step < ROUNDS else _met(members, edits)
+        found = scratch.save(_verified(pairs, lines, edits), f"links-{step}")
+        links = found if links is None else links.union(found)
+        part = components(links, scratch, f"part-{step}")
+    scratch.drop("buckets", before)
+    return part
 
 
 def _split(docs: DataFrame, text: str) -> Column:
