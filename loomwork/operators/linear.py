@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 from collections.abc import Iterator, Sequence
 
@@ -169,3 +170,55 @@ def extra_gradient(f: Logistic, steps: int, radius: float = 10.0, start: np.ndar
         mean, weight, spent = mean + t * x, weight + t, spent + t * t * float((g - m) @ (g - m))
     w = mean / max(weight, 1.0)
     return w, float(f(w)[0] - f.penalty * w @ w)
+
+
+def score_test(df: DataFrame, features: Sequence[str], candidates: Sequence[str], label: str, weights: np.ndarray) -> tuple[float, float]:
+    """(statistic, p-value) of adding ``candidates`` to a fitted logistic model, from one pass; the p-value by Wilson and Hilferty's cube root."""
+    d, k = len(features) + 1, len(candidates)
+
+    def partial(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        p = 1 / (1 + np.exp(-np.clip(x[:, :d] @ weights, -700, 700)))
+        return x.T @ np.column_stack([x * (p * (1 - p))[:, None], y - p])
+
+    s = _sum_rows(_design(df, [*features, *candidates], label), partial, d + k, d + k + 1)
+    info, slope = s[:, :-1], s[:, -1]
+    back = info[d:, :d] @ np.linalg.pinv(info[:d, :d])
+    left = slope[d:] - back @ slope[:d]
+    statistic = float(left @ np.linalg.pinv(info[d:, d:] - back @ info[:d, d:]) @ left)
+    scale = 2 / (9 * k)
+    z = (np.cbrt(statistic / k) - (1 - scale)) / math.sqrt(scale)
+    return statistic, 0.5 * math.erfc(z / math.sqrt(2))
+
+
+def _drawn(df: DataFrame, features: Sequence[str], label: str, rows: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``rows`` rows, the first by a hash with the seed, on the driver."""
+    data = _design(df, features, label)
+    found = data.orderBy(F.xxhash64(*data.columns, F.lit(seed))).limit(rows).toPandas().to_numpy(float)
+    return found[:, :-1], found[:, -1]
+
+
+def descent_by_rows(df: DataFrame, features: Sequence[str], label: str, step: float = 0.01, steps: int = 1000, rows: int = 100_000, seed: int = 0) -> np.ndarray:
+    """Descent on half the squared error, a random row a step, of a sample of at most ``rows`` rows."""
+    x, y = _drawn(df, features, label, rows, seed)
+    w = np.zeros(x.shape[1])
+    for i in np.random.default_rng(seed).integers(0, len(y), steps):
+        w -= step * (x[i] @ w - y[i]) * x[i]
+    return w
+
+
+def clipped_newton(
+    df: DataFrame, features: Sequence[str], label: str, penalty: float = 1e-4, step: float = 0.05, steps: int = 300, batch: int = 2048, rows: int = 100_000, seed: int = 0,
+    keep: float = 0.965, keep_curvature: float = 0.99, rho: float = 0.05, every: int = 10, least: float = 1e-12,
+) -> np.ndarray:
+    """Logistic weights by averaged gradients over averaged diagonal curvatures, each coordinate's move clipped, on batches of a sample of at most ``rows`` rows."""
+    x, y = _drawn(df, features, label, rows, seed)
+    rng, w = np.random.default_rng(seed), np.zeros(x.shape[1])
+    mean, curvature = np.zeros_like(w), np.zeros_like(w)
+    for t in range(steps):
+        own = rng.integers(0, len(y), batch) if batch < len(y) else np.arange(len(y))
+        p = 1 / (1 + np.exp(-np.clip(x[own] @ w, -700, 700)))
+        mean = keep * mean + (1 - keep) * (x[own].T @ (p - y[own]) / len(own) + 2 * penalty * w)
+        if t % every == 0:
+            curvature = keep_curvature * curvature + (1 - keep_curvature) * ((p * (1 - p)) @ x[own] ** 2 / len(own) + 2 * penalty)
+        w -= step * np.clip(mean / np.maximum(rho * curvature, least), -1, 1)
+    return w

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cleaning, linear, metrics, profiles, sampling, statistics, trees, validation
+from ..operators import cleaning, features, linear, metrics, profiles, sampling, statistics, trees, validation
 from ..sources import survey
 
 
@@ -196,6 +196,12 @@ def ridge_cv(spark, sf_dir):
     return spark.createDataFrame([(r["penalty"], r["f1"], r["std"]) for r in found], "penalty double, f1 double, std double")
 
 
+def feature_pipeline(spark, sf_dir):
+    rows = _coded(spark, sf_dir)
+    fitted = features.fit(rows, {"price": "continuous"}, F.col("y"), min_rows=10, degree=2)
+    return fitted.transform(rows, "o_orderkey").select("o_orderkey", F.round("price", 5).alias("price"), F.round("`price^2`", 5).alias("price_2"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents joined with their labels, cleaned, standardised, scored and cut at the best F1."""
     d = _t(spark, sf_dir, "documents").join(_t(spark, sf_dir, "labels"), "doc_id")
@@ -213,6 +219,7 @@ _CONFUSION = f"SELECT count(*) FILTER (y AND s >= 0.1) AS tp, count(*) FILTER (N
 _RANKED = "row_number() OVER (PARTITION BY y ORDER BY md5(o_orderkey || '/1'), o_orderkey) - 1"
 
 ORACLE_SQL = {
+    "feature_pipeline": f"WITH m AS (SELECT quantile_cont(price, 0.5) AS m FROM {_CODED}), v AS (SELECT o_orderkey, coalesce(price, m) AS v FROM {_CODED}, m), z AS (SELECT o_orderkey, (v - avg(v) OVER ()) / stddev_pop(v) OVER () AS z FROM v) SELECT o_orderkey, round(z, 5) AS price, round((z * z - avg(z * z) OVER ()) / stddev_pop(z * z) OVER (), 5) AS price_2 FROM z",
     "codes_to_null": f"SELECT o_orderkey, CASE WHEN code = 8 THEN 0.0 WHEN code IN (7, 9) THEN NULL ELSE code END AS code FROM {_CODED}",
     "unit_codes": "SELECT o_orderkey, round(CASE floor(v / 100) WHEN 1 THEN (v % 100) * 365 WHEN 2 THEN (v % 100) * 52 WHEN 3 THEN (v % 100) * 12 WHEN 4 THEN v % 100 ELSE v END, 6) AS times FROM (SELECT o_orderkey, CAST(100 + o_orderkey % 500 AS DOUBLE) AS v FROM orders)",
     "month_codes": "SELECT o_orderkey, CASE WHEN v % 10000 >= 1900 THEN greatest(12.0 * 2015 + 10 - (12 * (v % 10000) + CASE WHEN floor(v / 10000) = 77 THEN 6.5 ELSE floor(v / 10000) END), 0.0)::DOUBLE END AS months FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN 770000.0 + w % 10000 ELSE w END::DOUBLE AS v FROM (SELECT o_orderkey, CAST((o_orderkey % 12 + 1) * 10000 + 1890 + o_orderkey % 130 AS DOUBLE) AS w FROM orders))",
@@ -246,5 +253,5 @@ ORACLE_SQL = {
 QUERIES = {f.__name__: f for f in (
     codes_to_null, unit_codes, month_codes, skip_logic_chain, bin_digitize, missing_rate_diff, impute_median, impute_mode, one_hot_min_rows, standardize_pop, value_histogram, entropy_mi, tvd_shift,
     prevalence_by_value, prevalence_lookup, confusion, prf_fbeta, best_threshold, log_loss, stratified_kfold, undersample_exact, gram_matrix, newton_full, every_nth_row, column_profile, leakage_scan, determination, best_rule_f1, pairwise_corr,
-    boosted_trees, forest, hybrid_trees, ridge_cv, flagship,
+    feature_pipeline, boosted_trees, forest, hybrid_trees, ridge_cv, flagship,
 )}
