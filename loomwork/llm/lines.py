@@ -31,7 +31,7 @@ from .scratch import Scratch
 EDITS = 2
 MIN_CHARS = 20
 # The letters that are counted to tell lines apart.
-LETTERS = "etainrso"
+LETTERS = "etainrsoldcumpgh"
 #: Steps in which each line meets one hub before the lines of a key meet each other.
 ROUNDS = 2
 
@@ -61,11 +61,11 @@ def segment_keys(line: Column, length: Column, edits: int) -> Column:
 
 
 def letters(line: Column) -> Column:
-    """How often a line has each of eight letters, modulo 256, packed into a long."""
-    counts = [(F.char_length(line) - F.char_length(F.replace(line, F.lit(c), F.lit("")))) % 256 for c in LETTERS]
+    """How often a line has each of sixteen letters, modulo 16, packed into a long."""
+    counts = [(F.char_length(line) - F.char_length(F.replace(line, F.lit(c), F.lit("")))) % 16 for c in LETTERS]
     packed = F.lit(0).cast("long")
     for i, n in enumerate(counts):
-        packed = packed.bitwiseOR(F.shiftleft(n.cast("long"), 8 * i))
+        packed = packed.bitwiseOR(F.shiftleft(n.cast("long"), 4 * i))
     return packed
 
 
@@ -73,8 +73,8 @@ def _may_be_near(x: str, y: str, edits: int) -> Column:
     """An edit changes two of the counts by one at most."""
     apart = F.lit(0)
     for i in range(len(LETTERS)):
-        d = F.abs(F.shiftrightunsigned(x, 8 * i).bitwiseAND(F.lit(255)) - F.shiftrightunsigned(y, 8 * i).bitwiseAND(F.lit(255)))
-        apart = apart + F.least(d, 256 - d)
+        d = F.abs(F.shiftrightunsigned(x, 4 * i).bitwiseAND(F.lit(15)) - F.shiftrightunsigned(y, 4 * i).bitwiseAND(F.lit(15)))
+        apart = apart + F.least(d, 16 - d)
     return apart <= 2 * edits
 
 
