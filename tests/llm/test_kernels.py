@@ -153,5 +153,79 @@ def test_chains_against_brute_force():
         assert sorted(np.concatenate(found)) == list(range(12))
 
 
+def _passages(a, b, k=passages.K):
+    """Pieces of the chains of two documents of words, by every seed that both picked."""
+    texts = [" ".join(f"w{w}" for w in v).encode() for v in (a, b)]
+    (_, x, hx, _), (_, y, hy, _) = (passages.seeds(np.frombuffer(t, np.uint8), np.array([0, len(t)])) for t in texts)
+    first = {h: j for j, h in zip(y[::-1].tolist(), hy[::-1].tolist())}
+    met = [(i, first[h]) for i, h in zip(x.tolist(), hx.tolist()) if h in first]
+    xs, ys = (np.array([m[c] for m in met], int) for c in (0, 1))
+    found = []
+    for c in passages.chains(xs, ys) if met else []:
+        found += passages.pieces(*passages.align(a, b, xs[c].tolist(), ys[c].tolist(), k))
+    return sorted(found)
+
+
+def test_passages_around_unrelated_text():
+    rng = np.random.default_rng(7)
+    for gap in (30, 80, 150, 300, 1500):
+        head, tail = rng.integers(0, 10**6, (2, 60)).tolist()
+        a, b = (head + rng.integers(10**6, 10**9, gap).tolist() + tail for _ in range(2))
+        assert _passages(a, b) == [(0, 60, 0, 60, 1.0), (gap + 60, gap + 120, gap + 60, gap + 120, 1.0)]
+    # 30 words each, that only together are a passage
+    head, tail = rng.integers(0, 10**6, (2, 30)).tolist()
+    a, b = (head + rng.integers(10**6, 10**9, 10).tolist() + tail for _ in range(2))
+    assert _passages(a, b) == [(0, 70, 0, 70, 60 / 70)]
+
+
+def test_pieces_against_brute_force():
+    rng = np.random.default_rng(8)
+
+    def held(runs, between, cuts):
+        total = 0
+        for i, j in cuts:
+            wide, tall = runs[j][1] - runs[i][0], runs[j][3] - runs[i][2]
+            agree = sum(r[1] - r[0] for r in runs[i : j + 1]) + sum(between[i + 1 : j + 1])
+            if min(wide, tall) < 20 or agree < 0.75 * max(wide, tall):
+                return -1
+            total += sum(r[1] - r[0] for r in runs[i : j + 1])
+        return total
+
+    def all_cuts(n, start=0):
+        yield []
+        for i in range(start, n):
+            for j in range(i, n):
+                for rest in all_cuts(n, j + 1):
+                    yield [(i, j), *rest]
+
+    for _ in range(60):
+        runs, between, x, y = [], [], 0, 0
+        for m in range(6):
+            dx, dy, n = rng.integers(0, 15), rng.integers(1, 15), rng.integers(5, 25)
+            runs.append([x + dx, x + dx + n, y + dy, y + dy + n])
+            between.append(int(rng.integers(0, min(dx, dy) + 1)) if m else 0)
+            x, y = x + dx + n, y + dy + n
+        got = passages.pieces(runs, between, min_words=20)
+        ends = [([r[0] for r in runs].index(p[0]), [r[1] for r in runs].index(p[1])) for p in got]
+        assert held(runs, between, ends) == max(held(runs, between, c) for c in all_cuts(6))
+
+
+def test_common_subsequence_against_brute_force():
+    rng = np.random.default_rng(9)
+    for _ in range(50):
+        a, b = rng.integers(0, 6, rng.integers(0, 90)).tolist(), rng.integers(0, 6, rng.integers(0, 90)).tolist()
+        row = [0] * (len(b) + 1)
+        for w in a:
+            row = [0, *_next_row(row, w, b)]
+        assert passages.common(a, b) == row[-1]
+
+
+def _next_row(row, w, b):
+    left = 0
+    for j, v in enumerate(b):
+        left = row[j] + 1 if v == w else max(left, row[j + 1])
+        yield left
+
+
 def test_crc_of_a_piece():
     assert zlib.crc32(np.array([1], "<u4").tobytes()) == 2583214201

@@ -210,6 +210,15 @@ def test_passages(docs, rows, empty):
     assert passages.passages(empty).count() == 0
 
 
+def test_passages_around_an_unrelated_body(spark):
+    rng = np.random.default_rng(21)
+    word = lambda: f"w{rng.integers(10**9)}"
+    head, tail = ([word() for _ in range(60)] for _ in range(2))
+    docs = spark.createDataFrame([(i, " ".join(head + [word() for _ in range(150)] + tail)) for i in range(3)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.start_word, r.end_word, r.match_doc_id) for r in passages.passages(docs).collect())
+    assert got == [(i, s, s + 60, 0) for i in (1, 2) for s in (0, 210)]
+
+
 @pytest.mark.parametrize("name", ["op1_packing", "op2_quality", "op4_secrets", "op5_mixing", "op9_repetition", "op10_media"])
 def test_queries_run_over_all_documents(spark, name):
     sf = "/root/testdata/sf0.001"
