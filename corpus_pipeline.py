@@ -18,7 +18,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated or nearly repeated lines; those of which no word is left go."""
-    done = lines.deduplicated(docs)
+    done = lines.deduplicated(docs, short=True)
     worded = F.coalesce(F.col("text"), F.lit("")).rlike(mixing.WORD)
     return done.where((F.col("__removed") == 0) | worded).select(*docs.columns).withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.lit(0).cast("long")))
 

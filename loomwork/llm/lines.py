@@ -11,8 +11,9 @@ lines of different components. Candidates are
 verified by Spark's banded edit distance with a threshold.
 
 Lines of a component are one line; its first occurrence (least key, then place)
-stays, the others are removed. Lines under ``min_chars`` characters are left
-alone, equal or not.
+stays, the others are removed. Lines under ``min_chars`` characters have no edit
+join: they are left alone or, with ``short``, removed where an equal one comes
+earlier, if they hold a word.
 
 Defined results: a null or empty text is one empty line and stays as it is (null
 stays null); a row that repeats whole loses its lines as any later document
@@ -26,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .links import components, ranked
+from .mixing import WORD
 from .scratch import Scratch
 
 EDITS = 2
@@ -143,13 +145,18 @@ def _split(docs: DataFrame, text: str) -> Column:
     return F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
 
 
-def removed(docs: DataFrame, text: str = "text", key: str = "doc_id", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def _compared(line: Column, min_chars: int, short: bool) -> Column:
+    """Whether a line goes where it comes again."""
+    return (F.char_length(line) >= min_chars) | (F.lit(short) & line.rlike(WORD))
+
+
+def removed(docs: DataFrame, text: str = "text", key: str = "doc_id", edits: int = EDITS, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """(key, __hash, flags) of each distinct row: which of its lines go."""
     scratch = Scratch(docs.sparkSession, "lines")
     rows = docs.select(key, F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__hash"), F.posexplode(_split(docs, text)).alias("pos", "line"))
-    rows = rows.withColumn("id", F.when(F.char_length("line") >= min_chars, F.xxhash64("line")))
+    rows = rows.withColumn("id", F.when(_compared(F.col("line"), min_chars, short), F.xxhash64("line")))
     places = scratch.save(rows.select(key, "__hash", "pos", "id"), "places")
-    lines = rows.where("id is not null").groupBy("id").agg(F.first("line").alias("line")).withColumn("length", F.char_length("line")).withColumn("letters", letters(F.col("line")))
+    lines = rows.where(F.char_length("line") >= min_chars).groupBy("id").agg(F.first("line").alias("line")).withColumn("length", F.char_length("line")).withColumn("letters", letters(F.col("line")))
     lines = scratch.save(lines, "distinct")
     linked = line_links(lines, scratch, edits)
     scratch.drop("distinct")
@@ -162,14 +169,14 @@ def removed(docs: DataFrame, text: str = "text", key: str = "doc_id", edits: int
     return marked.groupBy(key, "__hash").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "gone"))), lambda x: x["gone"]).alias("__gone"))
 
 
-def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", edits: int = EDITS, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """``docs`` without the removed lines, and with ``__lines`` and ``__removed``."""
-    flags = removed(docs, text, key, edits, min_chars).alias("f")
+    flags = removed(docs, text, key, edits, min_chars, short).alias("f")
     order = Window.partitionBy(key, "__hash").orderBy("__hash")
     rows = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col(text), F.lit("")))).withColumn("__copy", F.row_number().over(order)).alias("d")
     rows = rows.join(flags, F.col(f"d.`{key}`").eqNullSafe(F.col(f"f.`{key}`")) & (F.col("d.__hash") == F.col("f.__hash")))
     rows = rows.withColumn("__split", _split(docs, f"d.`{text}`"))
-    stays = lambda line, i: F.when(F.col("__copy") > 1, F.char_length(line) < min_chars).otherwise(~F.get("__gone", i))
+    stays = lambda line, i: F.when(F.col("__copy") > 1, ~_compared(line, min_chars, short)).otherwise(~F.get("__gone", i))
     rows = rows.withColumn("__kept", F.filter("__split", stays))
     gone = F.size("__split") - F.size("__kept")
     new = F.when(gone == 0, F.col(f"d.`{text}`")).otherwise(F.array_join("__kept", "\n"))

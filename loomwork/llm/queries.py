@@ -36,7 +36,7 @@ def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.digest(_table(spark, sf_dir, "documents"))
+    return lines.digest(_table(spark, sf_dir, "documents"), short=True)
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -199,6 +199,23 @@ def test_lines(docs, rows, empty):
     assert lines.digest(empty).count() == 0 and lines.deduplicated(docs).columns[: len(docs.columns)] == docs.columns
 
 
+def test_short_lines_that_come_again(spark):
+    body = "a line of more than twenty letters"
+    texts = ["Les.\nof\n\n" + body, "of\n\nLess.\nLes.", "Les.\nLes.\nnew", "Les.\nLes.\nnew", " \n!", None]
+    docs = spark.createDataFrame([(min(i, 2) if i < 4 else i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.text or "", r["__removed"]) for r in lines.deduplicated(docs, short=True).collect())
+    assert got == [(0, texts[0], 0), (1, "\nLess.", 2), (2, "", 3), (2, "new", 2), (4, " \n!", 0), (5, "", 0)]
+
+
+def test_registered_lines_go_at_every_length(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(0, "Les.\nfirst", 0), (1, "Les.\nsecond", 0)], "doc_id long, text string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.n_removed for r in queries.op7_lines(spark, str(tmp_path)).collect()} == {0: 0, 1: 1}
+    assert {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, docs, "").collect()} == {0: "Les.\nfirst", 1: "second"}
+
+
 def test_passages(docs, rows, empty):
     got = passages.passages(docs).collect()
     pairs = {(r.doc_id, r.match_doc_id) for r in got}
