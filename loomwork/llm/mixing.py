@@ -1,9 +1,10 @@
 """Mixing sources to target weights, with DataFrame operations only.
 
 Each source's words lie on an axis, document after document, cut into blocks of a
-fixed length. Targets follow the weights, filled up like water under each
-source's cap. Output shards draw their source counts: the whole part of each
-expectation is given, the rest is drawn multinomially. A source's slots run
+fixed length, small sources into shorter ones. Targets follow the weights, filled
+up like water under each source's cap. They fix how many slots each source has:
+every output shard is given an equal whole part of them, and which shards take the
+rest, one each, is drawn. A source's slots run
 through a keyed pseudorandom permutation of its block indexes (swap-or-not, a
 bijection for any number of blocks), once for each pass, so no block comes back
 before all others have been taken. Blocks join slots by index.
@@ -32,6 +33,8 @@ SHARE = 1.5
 CAP = 2
 #: Longest block; short corpora take shorter ones, a twenty-thousandth of all words.
 BLOCK = 512
+#: A source shorter than so many blocks is cut into about so many shorter ones.
+LEAST_BLOCKS = 32
 SHARD_SLOTS = 4096
 ROUNDS = 12
 BUCKET_ROWS = 50_000
@@ -79,25 +82,23 @@ def targets(sized: DataFrame, source: str = "source", weights: Sequence[int] = W
 
 
 def _slots(sources: DataFrame, block: int, total: float, seed: str) -> DataFrame:
-    """(sid, index, uses): how often each block is taken."""
+    """(sid, index, uses): how often each block is taken.
+
+    A source's slots are as many as bring its words nearest to its target, counted
+    in passes of its own blocks, as the last one is partly empty.
+    """
     shards = max(1, -(-int(total / block) // SHARD_SLOTS))
-    by_id = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0)
-    plan = sources.withColumn("expected", F.col("target") / block / shards).withColumn("given", F.floor("expected"))
-    plan = plan.withColumn("rest", F.col("expected") - F.col("given")).withColumn("high", F.sum("rest").over(by_id))
-    plan = plan.withColumn("low", F.col("high") - F.col("rest")).withColumn("all", F.max("high").over(Window.partitionBy()))
-    spark = sources.sparkSession
-    drawn = spark.range(shards).withColumnRenamed("id", "shard")
-    rest = F.broadcast(plan.agg(F.max("high").alias("all")).withColumn("draws", F.round(F.coalesce("all", F.lit(0.0))).cast("int")))  # one row
-    drawn = drawn.join(rest).where("draws > 0").withColumn("n", F.explode(F.sequence(F.lit(1), F.col("draws"))))
-    drawn = drawn.withColumn("x", draw(seed, F.col("shard"), F.col("n")) / float(1 << 52) * F.col("all")).withColumn("cell", F.floor("x"))
-    spans = plan.where("rest > 0").select("sid", "low", "high", F.explode(F.sequence(F.floor("low"), F.floor("high"))).alias("cell"))
-    extra = drawn.join(spans, "cell").where("x >= low and x < high").groupBy("sid", "shard").agg(F.count("*").alias("extra"))
-    given = plan.where("given > 0").select("sid", F.col("given").alias("extra"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
-    counts = given.unionByName(extra).groupBy("sid", "shard").agg(F.sum("extra").alias("count"))
+    plan = sources.where("source_size > 0").withColumn("blocks", F.ceil(F.col("source_size") / F.col("length")))
+    plan = plan.withColumn("slots", F.round(F.col("target") / F.col("source_size") * F.col("blocks")).cast("long")).where("slots > 0")
+    plan = plan.select("sid", "blocks", F.floor(F.col("slots") / shards).alias("given"), (F.col("slots") % shards).alias("rest"))
+    all_shards = F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))
+    given = plan.where("given > 0").select("sid", "blocks", F.col("given").alias("count"), F.explode(all_shards).alias("shard"))
+    drawn = plan.where("rest > 0").withColumn("n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rest") - 1)))
+    drawn = drawn.select("sid", "blocks", F.lit(1).cast("long").alias("count"), permuted(F.col("n"), F.lit(shards).cast("long"), seed, "rest", F.col("sid")).alias("shard"))
+    counts = given.unionByName(drawn).groupBy("sid", "blocks", "shard").agg(F.sum("count").alias("count"))
     before = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("from", F.coalesce(F.sum("count").over(before), F.lit(0)))
-    blocks = sources.select("sid", F.ceil(F.col("source_size") / block).alias("blocks"))
-    slots = counts.join(blocks, "sid").withColumn("slot", F.explode(F.sequence(F.col("from"), F.col("from") + F.col("count") - 1))).where(F.col("slot") < CAP * F.col("blocks"))
+    slots = counts.withColumn("slot", F.explode(F.sequence(F.col("from"), F.col("from") + F.col("count") - 1)))
     turn = F.floor(F.col("slot") / F.col("blocks"))
     return slots.withColumn("index", permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), seed, F.col("sid"), turn)).groupBy("sid", "index").agg(F.count("*").alias("uses"))
 
@@ -109,7 +110,8 @@ def parts(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str
     rows, words = sized.agg(F.count("*"), F.sum("size")).first()
     words = words or 0
     block = block or min(BLOCK, max(1, words // 20_000))
-    sources = scratch.save(targets(sized, source, weights, share, cap), "sources")
+    length = F.least(F.lit(block).cast("long"), F.greatest(F.ceil(F.col("source_size") / LEAST_BLOCKS), F.lit(1).cast("long")))
+    sources = scratch.save(targets(sized, source, weights, share, cap).withColumn("length", length), "sources")
     uses = _slots(sources, block, share * words, seed)
     sized = sized.join(sources, sized[source].eqNullSafe(sources[source])).drop(sources[source])
     sized = sized.withColumn("bucket", draw(F.coalesce(F.col(key).cast("string"), F.lit(""))) % max(1, -(-rows // BUCKET_ROWS)))
@@ -117,8 +119,8 @@ def parts(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str
     base = sized.groupBy("sid", "bucket").agg(F.sum("size").alias("n")).select("sid", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     within = Window.partitionBy("sid", "bucket").orderBy(key, "__hash", "__copy").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.join(base, ["sid", "bucket"]).withColumn("start", F.col("base") + F.coalesce(F.sum("size").over(within), F.lit(0)))
-    cut = placed.withColumn("index", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.greatest("size", F.lit(1)) - 1) / block))))
-    low, high = F.greatest(F.col("start"), F.col("index") * block), F.least(F.col("start") + F.col("size"), (F.col("index") + 1) * block)
+    cut = placed.withColumn("index", F.explode(F.sequence(F.floor(F.col("start") / F.col("length")), F.floor((F.col("start") + F.greatest("size", F.lit(1)) - 1) / F.col("length")))))
+    low, high = F.greatest(F.col("start"), F.col("index") * F.col("length")), F.least(F.col("start") + F.col("size"), (F.col("index") + 1) * F.col("length"))
     cut = cut.withColumn("at", low - F.col("start")).withColumn("words", F.greatest(high - low, F.lit(0)))
     return cut.join(uses, ["sid", "index"], "left").select(key, source, "__hash", "__copy", "size", "source_size", "target", "at", "words", F.coalesce("uses", F.lit(0)).alias("uses"))
 

@@ -127,6 +127,18 @@ def test_mixing(docs, rows, empty):
     assert mixed.columns == docs.columns and all(words[k] == got[k].taken for k in sizes)
 
 
+def test_small_sources_of_a_large_mix_meet_their_targets(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 64)  # several shards
+    sizes = [100, 150, 400, 513, 700, 1026, 5000, 0, 1] + [40_000, 90_000]
+    rows = [(100 * s + d, f"s{s:02d}", " ".join(["w"] * (n // 4 + (n % 4 if d == 0 else 0)))) for s, n in enumerate(sizes) for d in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    for share in (1.5, 0.4):
+        got = mixing.mix(docs, block=512, share=share).groupBy((F.col("doc_id") / 100).cast("int").alias("s")).agg(F.first("source_size").alias("size"), F.first("target").alias("target"), F.sum("taken").alias("taken")).collect()
+        assert {r.s: r.size for r in got} == dict(enumerate(sizes))
+        for r in got:
+            assert r.taken <= 2 * r.size and abs(r.taken - r.target) <= max(1, 0.05 * r.target), r
+
+
 def test_permutation_is_a_bijection(spark):
     for n in (1, 2, 7, 100):
         got = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit("k")).alias("p")).collect()
