@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomwork.llm import jaccard, lines, mixing, packing, quality
@@ -23,10 +23,23 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return done.where((F.col("__removed") == 0) | worded).select(*docs.columns).withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.lit(0).cast("long")))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__key``, a text that sorts as ``doc_id``; rows with a null one come last, each with a key of its own."""
+    known, lost = docs.where("doc_id is not null"), docs.where("doc_id is null")
+    if dict(docs.dtypes)["doc_id"] == "string":
+        key = F.concat(F.lit("0"), "doc_id")
+    else:  # the sign bit turned, so that negative ones come first
+        key = F.lpad(F.hex(F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    text = F.sha2(F.coalesce("text", F.lit("")), 256)
+    copy = F.row_number().over(Window.partitionBy(text).orderBy(text))
+    return known.withColumn("__key", key).unionByName(lost.withColumn("__key", F.concat(F.lit("N"), text, F.lit("-"), copy.cast("string"))))
+
+
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the first, of each group of near duplicates."""
-    found = jaccard.join(docs).where("n_shingles = 0 or doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["__first"]), "left_semi")
+    """One document, the first, of each group of near duplicates; rows with a null key come after all others."""
+    keyed = _keyed(docs)
+    found = jaccard.join(keyed, key="__key").where("n_shingles = 0 or __key = component_id").select("__key").distinct()
+    return keyed.join(found, "__key", "left_semi").select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -254,6 +254,16 @@ def test_queries_run_over_all_documents(spark, name):
     assert queries.QUERIES[name](spark, sf).select("doc_id").distinct().count() == 200
 
 
+def test_pipeline_near_copies_with_null_keys(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(31)
+    one, two, three, four = (" ".join(f"w{w}" for w in rng.integers(0, 10**6, 40)) for _ in range(4))
+    rows = [(5, one), (-3, one), (7, two), (None, two), (None, three), (None, three), (None, four), (None, four + " more"), (None, None), (None, "short"), (9, "short")]
+    got = corpus_pipeline.jaccard_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert Counter((r.doc_id, (r.text or "").removesuffix(" more")) for r in got) == Counter([(-3, one), (7, two), (None, three), (None, four), (None, ""), (9, "short")])
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     from loomwork.llm.scratch import Scratch
