@@ -220,12 +220,9 @@ def test_short_lines_that_come_again(spark):
 
 
 def test_registered_lines_go_at_every_length(spark, tmp_path):
-    import corpus_pipeline
-
     docs = spark.createDataFrame([(0, "Les.\nfirst", 0), (1, "Les.\nsecond", 0)], "doc_id long, text string, n_chars long")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     assert {r.doc_id: r.n_removed for r in queries.op7_lines(spark, str(tmp_path)).collect()} == {0: 0, 1: 1}
-    assert {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, docs, "").collect()} == {0: "Les.\nfirst", 1: "second"}
 
 
 def test_passages(docs, rows, empty):
