@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
+from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,9 +13,11 @@ _FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a local folder only where it is unset (tests)."""
+    """The cluster's ``spark.checkpoint.dir``; a local folder only where it is unset and all tasks run in this process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is unset: intermediate tables need a folder that all executors share")
         found = tempfile.mkdtemp(prefix="loomwork-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -25,12 +28,18 @@ class Scratch:
 
     A lost executor only costs the tasks that ran on it: finished tables are in
     the shared folder. Shuffle files of a finished write are dropped at once, as
-    the table replaces them.
+    the table replaces them; the session's setting for that holds while a table is
+    written, and at worst makes another query of the session shuffle anew when its
+    result is asked for again. Tables that a result still reads stay until ``purge``.
     """
 
+    #: Folders of this process.
+    roots: ClassVar[list[str]] = []
+
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/loomwork/{label}-{uuid.uuid4().hex[:12]}"
+        Scratch.roots.append(self.root)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         before = self.spark.conf.get(_FILE_CLEANUP, None)
@@ -46,8 +55,17 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         """Remove tables that nothing still to run reads."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            with contextlib.suppress(Exception):
-                path.getFileSystem(conf).delete(path, True)
+            _delete(self.spark, f"{self.root}/{name}")
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    with contextlib.suppress(Exception):
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def purge(spark: SparkSession) -> None:
+    """Remove every table that operators left in this process; call it when their results have been written."""
+    while Scratch.roots:
+        _delete(spark, Scratch.roots.pop())

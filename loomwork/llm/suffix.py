@@ -3,42 +3,56 @@
 Equal strings have equal minimizers (the least hash of their ``GRAM``-byte grams),
 so runs of consecutive windows with one minimizer are the unit of work: a run is
 sent to the shard of its minimizer, and equal windows always meet there. What is
-hot is aggregated first: of whole documents that are equal only the first is
-searched, of runs that are equal only the first goes on, the other ones lie
-wholly in repeated strings; a minimizer of a single run repeats nothing.
+hot is aggregated first: of runs that are equal only the first goes on, the other
+ones lie wholly in repeated strings; a minimizer of a single run repeats nothing.
+A minimizer of more than ``HOT`` distinct runs is split: each window holds half of
+the bytes around its minimizer on one side at least, so the side and those bytes are
+a finer key, again and again until groups are small (at last the key is the window).
 
 The distinct runs left in a shard are concatenated in corpus order and their suffix
 array is built by induced sorting: suffixes are classified, the substrings between
 leftmost-smaller (LMS) suffixes are named and sorted, by recursion where names
-repeat, and the array is induced from them, bucket by bucket with numpy. Common
-prefixes are permuted to text order, where only irreducible ones are compared
-byte by byte. Suffixes that share ``width`` bytes are neighbours; all but the first
-of such a group start a repeated string.
+repeat, and the array is induced from them: bucket by bucket with numpy where
+symbols are few, place by place where they are many. Common prefixes are permuted
+to text order, where only irreducible ones are compared byte by byte. Suffixes that
+share ``width`` bytes are neighbours; all but the first of such a group start a
+repeated string.
+
+Rows get ids of their own when they are first read, so keys may be null or repeat.
+Texts are joined with ids of runs and of covers only; no join carries two of them.
 
 Defined results: a null or empty text has no bytes; texts shorter than ``width``
-stay whole; of equal texts the one with the least key stays (of equal keys, one
-row: a row that repeats is an equal text); an empty table gives an empty result;
-rows with a null key come first; other columns are ignored.
+stay whole; earlier is the lesser key, null first, then the row read first (a row
+that repeats, or shares a key, is a document of its own), then the earlier start; an
+empty table gives an empty result; other columns are ignored; a long text is
+searched in pieces that overlap, with the same result.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
 from .scratch import Scratch
 
 WIDTH = 100
-GRAM = 20
+GRAM = 32
 #: Bytes of distinct runs in a shard, about; what decides the number of shards.
 SHARD_BYTES = 1 << 20
-#: Names of a reduced text up to which it is sorted by recursion; beyond, buckets are too many and too small for numpy.
-RECURSE = 1024
+#: Distinct runs of a minimizer beyond which they are split by finer keys.
+HOT = 2048
+#: Symbols from which buckets are too small for a numpy call each.
+FEW_SYMBOLS = 1024
+#: Bits of a gram's place beside its hash, when the least one is sought; pieces are shorter.
+_PLACE = 22
+PIECE = T.SLICE_BYTES // 2
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -75,7 +89,7 @@ def _induced(text: np.ndarray, symbols: int) -> np.ndarray:
     names, distinct = _names(text, small, lms, sorted_lms)
     if distinct < len(lms):
         reduced = names[lms]
-        sorted_lms = lms[_induced(reduced, distinct) if distinct <= RECURSE else _doubled(reduced)]
+        sorted_lms = lms[_induced(reduced, distinct)]
     return _induce(text, small, sorted_lms, head, tail)
 
 
@@ -85,22 +99,6 @@ def _is(places: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _doubled(text: np.ndarray) -> np.ndarray:
-    """Sorted suffixes of a reduced text of many names, by doubling the ranked length (numpy has no fast buckets of single names)."""
-    n, k, rank = len(text), 1, text.astype(np.int64)
-    while True:
-        second = np.full(n, -1, np.int64)
-        second[: n - k] = rank[k:]
-        key = rank * (n + 2) + second + 1
-        order = np.argsort(key)
-        fresh = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
-        rank = np.empty(n, np.int64)
-        rank[order] = fresh
-        if fresh[-1] == n - 1:
-            return order
-        k *= 2
-
-
 def _names(text: np.ndarray, small: np.ndarray, lms: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, int]:
     """Names of the LMS substrings (by place) in their sorted order; equal ones share a name."""
     end = np.full(len(text), len(text) - 1, np.int64)
@@ -143,6 +141,8 @@ def _spread(text: np.ndarray, before: np.ndarray, put: np.ndarray, sa: np.ndarra
 
 def _induce(text: np.ndarray, small: np.ndarray, lms: np.ndarray, head: np.ndarray, tail: np.ndarray) -> np.ndarray:
     """The array induced from LMS suffixes in the given order: larger ones upwards, then smaller ones downwards."""
+    if len(head) > FEW_SYMBOLS:
+        return _induce_each(text, small, lms, head, tail)
     n, sa = len(text), np.full(len(text), -1, np.int64)
     put = tail.copy()
     _spread(text, lms[::-1], put, sa, False)
@@ -186,6 +186,36 @@ def _induce(text: np.ndarray, small: np.ndarray, lms: np.ndarray, head: np.ndarr
     return sa
 
 
+def _induce_each(text: np.ndarray, small: np.ndarray, lms: np.ndarray, head: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    """``_induce`` place by place, for many symbols."""
+    n = len(text)
+    own, put = text.tolist(), tail.tolist()
+    array = np.full(n, -1, np.int64)
+    for i in lms[::-1].tolist():
+        put[own[i]] -= 1
+        array[put[own[i]]] = i
+    sa = array.tolist()
+    before = text[:-1]  # the symbol before each place, where it starts a larger suffix (then a smaller one); else -1, as for place -1
+    symbol = np.concatenate([[-1], np.where(small[:-1], -1, before), [-1]]).tolist()
+    put = head.tolist()
+    for i in sa:  # the list grows to the right of where it is read
+        if (c := symbol[i]) >= 0:
+            sa[put[c]] = i - 1
+            put[c] += 1
+    array = np.array(sa, np.int64)
+    array[small[array]] = -1  # smaller suffixes come anew
+    array[0] = n - 1
+    sa = array.tolist()
+    symbol = np.concatenate([[-1], np.where(small[:-1], before, -1), [-1]]).tolist()
+    put = tail.tolist()
+    for i in reversed(sa):
+        if (c := symbol[i]) >= 0:
+            put[c] -= 1
+            sa[put[c]] = i - 1
+    sa[0] = n - 1
+    return np.array(sa, np.int64)
+
+
 def common_prefixes(text: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     """Permuted common prefixes: of each suffix with the one before it in the array, up to ``most`` where they are irreducible."""
     n = len(text)
@@ -238,107 +268,202 @@ def repeats(strings: list[bytes], width: int = WIDTH) -> list[np.ndarray]:
 
 
 def runs(data: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(row, start in the row, windows, minimizer, content hash, whether the minimizer comes twice) of each run."""
+    """(row, start in the row, windows, minimizer, content hash, whether the minimizer comes twice, its place) of each run."""
     empty = np.zeros(0, np.int64)
     n, w = len(data), width - gram + 1
     if n < width:
-        return empty, empty, empty, empty.astype(T.U64), empty.astype(T.U64), empty.astype(bool)
+        return empty, empty, empty, empty.astype(T.U64), empty.astype(T.U64), empty.astype(bool), empty
     span = T.SpanHash(data)
-    at = np.arange(n - gram + 1)
-    grams = span(at, at + gram)
-    least, size = grams, 1
+    grams = span.grams(gram)
+    low = T.U64((1 << _PLACE) - 1)
+    least, size = (grams & ~low) | np.arange(len(grams), dtype=T.U64), 1  # of equal ones the leftmost
     while size * 2 <= w:
         least = np.minimum(least[: len(least) - size], least[size:])
         size *= 2
     least = np.minimum(least[: len(grams) - w + 1], least[w - size : len(grams) - size + 1])
-    row = np.searchsorted(offsets, np.arange(len(least)), side="right") - 1
+    place = (least & low).astype(np.int64)
+    minimizer = grams[place]
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(least)]
     fits = np.arange(len(least)) + width <= offsets[row + 1]
     first = fits.copy()
-    first[1:] &= (least[1:] != least[:-1]) | ~fits[:-1] | (row[1:] != row[:-1])
-    begin = np.flatnonzero(first)
-    places = np.flatnonzero(fits)
-    windows = np.diff(np.append(np.searchsorted(places, begin), len(places)))
-    end = begin + windows + width - 1
-    owner = np.repeat(np.arange(len(begin)), windows + w - 1)
-    offset = np.arange(len(owner)) - np.repeat(np.concatenate([[0], np.cumsum(windows + w - 1)])[:-1], windows + w - 1)
-    twice = np.bincount(owner, weights=grams[begin[owner] + offset] == least[begin][owner], minlength=len(begin)) > 1
-    return row[begin], begin - offsets[row[begin]], windows, least[begin], span(begin, end), twice
-
-
-def _covers(docs: DataFrame, text: str, key: str, width: int, gram: int, scratch: Scratch) -> DataFrame:
-    """(key, start, stop) of byte spans that repeated strings cover, in documents of different texts."""
-    kind = dict(docs.select(key).dtypes)[key]
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, _, data, offsets in T.slices(batch.column(1), T.SLICE_BYTES // 2):
-                row, start, n, m, content, twice = runs(data, offsets, width, gram)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + i)), pa.array(start, pa.int64()), pa.array(n, pa.int32()), pa.array(m.view(np.int64)), pa.array(content.view(np.int64)), pa.array(twice)], [key, "start", "n", "m", "content", "twice"])
-
-    found = scratch.save(docs.select(F.col(key), F.col(text)).mapInArrow(find, f"`{key}` {kind}, start long, n int, m long, content long, twice boolean"), "runs")
-    hot = scratch.save(found.groupBy("m").agg(F.count("*").alias("many"), F.max("twice").alias("twice")).where("many > 1 or twice").select("m"), "hot")
-    found = scratch.save(found.join(hot.hint("merge"), "m"), "met")  # one plan at every size
-    scratch.drop("runs", "hot")
-    place = F.struct(key, "start")
-    firsts = found.groupBy("m", "content").agg(F.min(place).alias("first"), F.max("n").alias("n"), F.max("twice").alias("twice"))
-    firsts = scratch.save(firsts, "firsts")
-    again = found.join(firsts.select("m", "content", "first").hint("merge"), ["m", "content"]).where(~place.eqNullSafe(F.col("first")))
-    again = again.select(key, "start", (F.col("start") + F.col("n") + width - 1).alias("stop"))
-    shards = firsts.groupBy("m").agg(F.count("*").alias("many"), F.max("twice").alias("twice")).where("many > 1 or twice").select("m")
-    left = firsts.join(shards.hint("merge"), "m").select(F.col(f"first.`{key}`").alias(key), "first.start", "n", "m")
-    left = scratch.save(left, "left")
-    total = left.agg(F.sum(F.col("n") + width - 1)).first()[0] or 0
-    number = max(1, -(-int(total) // SHARD_BYTES))
-    wanted = left.groupBy(key).agg(F.collect_list(F.struct("start", "n", "m")).alias("wanted"))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = batch.column(1).cast(pa.binary())
-            rows, start, shard, strings = [], [], [], []
-            for r in range(batch.num_rows):
-                data = raw[r].as_py()
-                for x in batch.column(2)[r].as_py():
-                    rows.append(r)
-                    start.append(x["start"])
-                    shard.append(x["m"] % number)
-                    strings.append(data[x["start"] : x["start"] + x["n"] + width - 1])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(start, pa.int64()), pa.array(shard, pa.int64()), pa.array(strings, pa.binary())], [key, "start", "shard", "string"])
-
-    strings = docs.select(F.col(key), F.col(text)).join(wanted, key).mapInArrow(cut, f"`{key}` {kind}, start long, shard long, string binary")
-
-    def search(table: pa.Table) -> pa.Table:
-        table = table.sort_by([(key, "ascending"), ("start", "ascending")])
-        rows, low, high = [], [], []
-        for r, again in enumerate(repeats([s.as_py() for s in table.column("string")], width)):
-            begin, end, _ = T.spans(again, np.array([0, len(again)]))
-            base = table.column("start")[r].as_py()
-            rows += [r] * len(begin)
-            low += [base + int(b) for b in begin]
-            high += [base + int(e) + width - 1 for e in end]
-        return pa.table({key: table.column(key).take(pa.array(rows, pa.int64())), "start": pa.array(low, pa.int64()), "stop": pa.array(high, pa.int64())})
-
-    inside = scratch.save(strings.groupBy("shard").applyInArrow(search, f"`{key}` {kind}, start long, stop long"), "inside")
-    covers = scratch.save(again.union(inside), "covers")
-    scratch.drop("met", "firsts", "left", "inside")
-    return covers
-
-
-def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+    first[1:] &= (minimizer[1:] != minimizer[:-1]) | ~fits[:-1] | (row[1:] != row[:-1])
+    begin, count = np.flatnonzero(first), np.cumsum(fits)
+    windows = np.diff(np.append(count[begin] - 1, count[-1])) if len(begin) else empty
+    twice = place[begin] != place[begin + windows - 1]
+    return row[begin], begin - offsets[row[begin]], windows, minimizer[begin], span(begin, begin + windows + width - 1), twice, place[begin] - begin
+
+
+def _pieces(column: pa.Array, width: int) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row + 1, start in a row, bytes, offsets): slices, long texts in pieces that share ``width - 1`` bytes."""
+    for i, j, data, offsets in T.slices(column, PIECE):
+        if len(data) <= PIECE:
+            yield i, j, 0, data, offsets
+        else:
+            for at in range(0, len(data) - width + 1, PIECE):
+                piece = data[at : at + PIECE + width - 1]
+                yield i, j, at, piece, np.array([0, len(piece)])
+
+
+def halves(string: bytes, n: int, at: int, size: int, twice: bool, width: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """(first window, windows, place of the larger key in the first, what tells the key) of the parts of a run of ``n`` windows.
+
+    All windows hold the ``size`` bytes at ``at``, and one half of the other bytes
+    on one side of them at least; the left side is taken where it does.
+    """
+    key = string[at : at + size]
+    found = [at]
+    while twice and (at := string.find(key, at + 1)) >= 0:
+        found.append(at)
+    half, after = (width - size + 1) // 2, 0
+    for o in found:  # the leftmost key of a window counts
+        low, high = max(after, o + size - width, 0), min(o, n - 1)
+        after = o + 1
+        cut = min(high, o - half)
+        if low <= cut:
+            yield low, cut - low + 1, o - half - low, b"<" + string[o - half : o + size]
+        low = max(low, o - half + 1)
+        if low <= high:
+            yield low, high - low + 1, o - low, b">" + string[o : o + size + half]
+
+
+def _long(data: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+
+
+class _Search:
+    """The spans that repeated strings cover, of a table ``rows`` (rid, key, text)."""
+
+    def __init__(self, rows: DataFrame, scratch: Scratch, width: int, gram: int, hot: int):
+        self.rows, self.scratch, self.width, self.gram, self.hot = rows, scratch, width, gram, hot
+        self.kind = dict(rows.dtypes)["key"]
+
+    def _again(self, runs: DataFrame, firsts: DataFrame) -> DataFrame:
+        """The spans of ``runs`` that are equal to an earlier one; ``firsts``: (g, content, first)."""
+        met = runs.join(firsts.select("g", "content", "first").hint("shuffle_hash"), ["g", "content"])
+        later = (F.col("rid") != F.col("first.rid")) | (F.col("start") != F.col("first.start"))
+        return met.where(later).select("rid", "start", (F.col("start") + F.col("n") + self.width - 1).alias("stop"))
+
+    def found(self) -> DataFrame:
+        """(rid, key, start, n, g, content, twice, at) of all runs whose minimizer ``g`` comes again."""
+        width, gram = self.width, self.gram
+
+        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i, _, base, data, offsets in _pieces(batch.column(2), width):
+                    row, start, n, m, content, twice, at = runs(data, offsets, width, gram)
+                    own = pa.array(row + i)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(start + base, pa.int64()), pa.array(n, pa.int32()), pa.array(m.view(np.int64)), pa.array(content.view(np.int64)), pa.array(twice), pa.array(at, pa.int32())], ["rid", "key", "start", "n", "g", "content", "twice", "at"])
+
+        made = self.scratch.save(self.rows.mapInArrow(find, f"rid long, key {self.kind}, start long, n int, g long, content long, twice boolean, at int"), "runs")
+        shared = made.groupBy("g").agg(F.count("*").alias("many"), F.max("twice").alias("twice")).where("many > 1 or twice").select("g")
+        met = self.scratch.save(made.join(shared.hint("shuffle_hash"), "g"), "met")  # one plan at every size; g is unique and evenly dealt
+        self.scratch.drop("runs")
+        return met
+
+    def strings(self, wanted: DataFrame) -> DataFrame:
+        """``wanted`` (rid, start, n, g, twice, at) with the bytes of its runs and the documents' keys."""
+        width = self.width
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                raw = batch.column(2).cast(pa.binary())
+                lists = batch.column(3)
+                flat = lists.flatten()
+                owner = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+                start, n = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("start", "n"))
+                held, data, out = -1, b"", []
+                for r, a, k in zip(owner.tolist(), start.tolist(), n.tolist(), strict=True):
+                    if r != held:
+                        held, data = r, raw[r].as_py()
+                    out.append(data[a : a + k + width - 1])
+                own = pa.array(owner)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), *(flat.field(c) for c in ("start", "n", "g", "twice", "at")), pa.array(out, pa.binary())], ["rid", "key", "start", "n", "g", "twice", "at", "string"])
+
+        lists = wanted.groupBy("rid").agg(F.collect_list(F.struct("start", "n", "g", "twice", "at")).alias("wanted"))
+        return self.rows.join(lists.hint("merge"), "rid").select("rid", "key", "text", "wanted").mapInArrow(cut, f"rid long, key {self.kind}, start long, n int, g long, twice boolean, at int, string binary")
+
+    def split(self, hot: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+        """Strings by finer keys, in groups of bounded size, and the spans that fell out as equal to earlier ones."""
+        width, size, level, ready, again = self.width, self.gram, 0, [], []
+        hot = self.scratch.save(hot, "hot-0")
+        while size < width and not hot.isEmpty():
+
+            def finer(batches: Iterator[pa.RecordBatch], size: int = size) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    rows, out = [], []
+                    get = batch.to_pydict()
+                    for r, (start, n, twice, at, string) in enumerate(zip(*(get[c] for c in ("start", "n", "twice", "at", "string")), strict=True)):
+                        for low, count, place, told in halves(string, n, at, size, twice, width):
+                            part = string[low : low + count + width - 1]
+                            rows.append(r)
+                            out.append((start + low, count, _long(told), _long(part), False, place, part))
+                    own, cols = pa.array(rows, pa.int64()), list(zip(*out, strict=True)) or [()] * 7
+                    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["rid", "key", "start", "n", "g", "content", "twice", "at", "string"])
+
+            level, half = level + 1, (width - size + 1) // 2
+            parts = self.scratch.save(hot.mapInArrow(finer, f"rid long, key {self.kind}, start long, n int, g long, content long, twice boolean, at int, string binary"), f"parts-{level}")
+            self.scratch.drop(f"hot-{level - 1}")
+            firsts = self.scratch.save(parts.groupBy("g", "content").agg(F.min(F.struct("key", "rid", "start")).alias("first")), f"firsts-{level}")
+            again.append(self.scratch.save(self._again(parts, firsts), f"again-{level}"))
+            many = firsts.groupBy("g").agg(F.count("*").alias("many")).where("many > 1")
+            left = firsts.join(many.hint("shuffle_hash"), "g").select("g", "content", F.col("first.rid").alias("rid"), F.col("first.start").alias("start"), "many")
+            left = self.scratch.save(parts.join(left.hint("merge"), ["g", "content", "rid", "start"]), f"left-{level}")
+            self.scratch.drop(f"parts-{level}", f"firsts-{level}")
+            columns = ["rid", "key", "start", "n", "g", "twice", "at", "string"]
+            ready.append(left.where(F.col("many") <= self.hot).select(columns))
+            hot = self.scratch.save(left.where(F.col("many") > self.hot).select(columns), f"hot-{level}")
+            size += half
+        return ready, again
+
+    def covers(self) -> DataFrame:
+        """(rid, start, stop), saved."""
+        met = self.found()
+        firsts = met.groupBy("g", "content").agg(F.min(F.struct("key", "rid", "start")).alias("first"), F.max("n").alias("n"), F.max("twice").alias("twice"), F.max("at").alias("at"))
+        firsts = self.scratch.save(firsts, "firsts")
+        covers = [self._again(met, firsts)]
+        many = firsts.groupBy("g").agg(F.count("*").alias("many"), F.max("twice").alias("again")).where("many > 1 or again").select("g", "many")
+        left = firsts.join(many.hint("shuffle_hash"), "g").select(F.col("first.rid").alias("rid"), F.col("first.start").alias("start"), "n", "g", "twice", "at", "many")
+        left = self.scratch.save(left, "left")
+        total, most = left.agg(F.sum(F.col("n") + self.width - 1), F.max("many")).first()
+        number = max(1, -(-int(total or 0) // SHARD_BYTES))
+        strings = self.strings(left.where(F.col("many") <= self.hot))
+        if (most or 0) > self.hot:
+            ready, again = self.split(self.strings(left.where(F.col("many") > self.hot)))
+            covers += again
+            for part in ready:
+                strings = strings.union(part)
+        width = self.width
+
+        def search(table: pa.Table) -> pa.Table:
+            table = table.take(pc.sort_indices(table, sort_keys=[("key", "ascending"), ("rid", "ascending"), ("start", "ascending")], null_placement="at_start"))
+            rows, low, high = [], [], []
+            for r, again in enumerate(repeats([s.as_py() for s in table.column("string")], width)):
+                begin, end, _ = T.spans(again, np.array([0, len(again)]))
+                base = table.column("start")[r].as_py()
+                rows += [r] * len(begin)
+                low += [base + int(b) for b in begin]
+                high += [base + int(e) + width - 1 for e in end]
+            return pa.table({"rid": table.column("rid").take(pa.array(rows, pa.int64())), "start": pa.array(low, pa.int64()), "stop": pa.array(high, pa.int64())})
+
+        shards = strings.select(F.pmod("g", F.lit(number)).alias("shard"), "rid", "key", "start", "string")
+        covers.append(shards.groupBy("shard").applyInArrow(search, "rid long, start long, stop long"))
+        done = covers[0]
+        for more in covers[1:]:
+            done = done.union(more)
+        done = self.scratch.save(done, "covers")
+        self.scratch.drop("met", "firsts", "left")
+        return done
+
+
+def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(key, kept binary, n_bytes, n_removed, n_spans) of each document."""
     scratch = Scratch(docs.sparkSession, "suffix")
     kind = dict(docs.select(key).dtypes)[key]
-    named = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    digest = F.unhex(F.md5("text"))
-    order = Window.partitionBy(key, "digest").orderBy(F.lit(0))
-    rows = scratch.save(named.select(key, digest.alias("digest"), F.octet_length("text").alias("n")), "rows")
-    least = rows.where(F.col("n") >= width).groupBy("digest").agg(F.min(F.struct(F.col(key).alias("key"))).alias("least"), F.count("*").alias("many"))
-    copies = scratch.save(least.where("many > 1").select("digest", F.col("least.key").alias("least")), "copies")
-    single = named.withColumn("digest", digest).join(copies, "digest", "left").where(F.col("least").isNull() | F.col(key).eqNullSafe(F.col("least")))
-    covers = _covers(single.select(key, "text"), "text", key, width, gram, scratch).groupBy(key).agg(F.collect_list(F.struct("start", "stop")).alias("covers"))
-    numbered = named.withColumn("digest", digest).withColumn("copy", F.row_number().over(order))
-    whole = numbered.join(copies, "digest", "left").withColumn("whole", F.col("least").isNotNull() & (~F.col(key).eqNullSafe(F.col("least")) | (F.col("copy") > 1)))
-    covers = covers.withColumnRenamed(key, "covered")
-    joined = whole.join(covers, F.col(key).eqNullSafe(F.col("covered")), "left").select(key, "text", "whole", "covers")
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = scratch.save(rows, "rows")  # ids stay what they are from here on
+    covers = _Search(rows, scratch, width, gram, hot).covers().groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("covers"))
+    joined = rows.join(covers.hint("merge"), "rid", "left").select("key", "text", "covers")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -346,15 +471,17 @@ def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", width
             raw = batch.column(1).cast(pa.binary())
             for r in range(batch.num_rows):
                 data = np.frombuffer(raw[r].as_buffer(), np.uint8)
+                sizes.append(len(data))
+                if not (spots := batch.column(2)[r]).is_valid:
+                    kept.append(data.tobytes())
+                    gone.append(0)
+                    spans.append(0)
+                    continue
                 edge = np.zeros(len(data) + 1, np.int64)
-                if batch.column(2)[r].as_py():
-                    edge[0] = 1
-                for x in batch.column(3)[r].as_py() or ():
-                    edge[x["start"]] += 1
-                    edge[x["stop"]] -= 1
+                np.add.at(edge, spots.values.field("start").to_numpy(), 1)
+                np.add.at(edge, spots.values.field("stop").to_numpy(), -1)
                 cut = np.cumsum(edge[:-1]) > 0
                 kept.append(data[~cut].tobytes())
-                sizes.append(len(data))
                 gone.append(int(cut.sum()))
                 spans.append(int(cut[:1].sum() + (cut[1:] & ~cut[:-1]).sum()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), *(pa.array(v, pa.int64()) for v in (sizes, gone, spans))], [key, "kept", "n_bytes", "n_removed", "n_spans"])
@@ -365,5 +492,3 @@ def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", width
 def digest(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256)."""
     return deduplicated(docs, text, key, **options).select(key, "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
-
-

@@ -61,6 +61,11 @@ class SpanHash:
         raw = (self.sums[end] - self.sums[start]) * self.inverse[start]
         return mix(raw + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
 
+    def grams(self, k: int) -> np.ndarray:
+        """The hash of every span of ``k`` bytes, as calls give it."""
+        n = len(self.sums) - k
+        return mix((self.sums[k:] - self.sums[:n]) * self.inverse[:n] + U64(k * 0xD6E8FEB86659FD93 % (1 << 64)))
+
 
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, bytes, offsets) of slices of about ``limit`` bytes; null counts as empty.

@@ -274,3 +274,42 @@ def test_pipeline(spark):
         assert k == 4 or docs.columns == columns
     assert counts[0] >= counts[1] >= counts[2] > counts[3] > 100 and counts[4] <= 2 * counts[3]
     assert docs.select("sequence_id", "offset").distinct().count() == counts[5]
+
+
+def spans_removed(r):
+    return r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256
+
+
+def brute_rows(texts, width=100):
+    """What ``brute_removed`` gives, for each of ``texts`` in their order."""
+    found = brute_removed(list(enumerate(texts)), width)
+    return [(len((t or "").encode()), *found[i]) for i, t in enumerate(texts)]
+
+
+def test_suffix_with_null_and_repeated_keys(spark):
+    rng = np.random.default_rng(41)
+    letter = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    one, two, shared = letter(300), letter(400), letter(150)
+    rows = [(None, one), (None, one[:200] + two), (None, None), (7, shared + two), (7, one + shared), (7, shared + two), (8, "x" + shared + "y")]
+    got = suffix.digest(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert sorted((r.doc_id is not None, r.doc_id or 0, spans_removed(r)) for r in got) == sorted((k is not None, k or 0, x) for (k, _), x in zip(rows, brute_rows([t for _, t in rows]), strict=True))
+
+
+def test_suffix_splits_hot_minimizers(spark):
+    rng = np.random.default_rng(42)
+    letter = lambda n: "".join(rng.choice(list("abcdefghijkl"), n))
+    line, tail = letter(60), letter(70)
+    texts = [letter(120) + line + (tail if i % 3 == 0 else letter(70)) + letter(40) for i in range(60)] + ["ab" * 300, "ab" * 310, letter(90) + "ab" * 80, "z" * 250]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute_rows(texts)
+    for hot in (4096, 5, 1):
+        got = by_id(suffix.digest(docs, hot=hot))
+        assert [spans_removed(got[i]) for i in range(len(texts))] == want, hot
+
+
+def test_suffix_of_a_long_text(spark):
+    rng = np.random.default_rng(43)
+    letters = "".join(map(chr, rng.integers(97, 123, 1_300_000)))
+    texts = [letters, letters[1_048_500:1_048_900] + "\n" + letters[:120], letters[40:700_000] + "é"]
+    got = by_id(suffix.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert [spans_removed(got[i])[:3] for i in range(3)] == [(1_300_000, 0, 0), (521, 520, 2), (699_962, 699_960, 1)]
