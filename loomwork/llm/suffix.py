@@ -347,17 +347,24 @@ class _Search:
         """(rid, key, start, n, g, content, twice, at) of all runs whose minimizer ``g`` comes again."""
         width, gram = self.width, self.gram
 
-        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for i, _, base, data, offsets in _pieces(batch.column(2), width):
-                    row, start, n, m, content, twice, at = runs(data, offsets, width, gram)
-                    own = pa.array(row + i)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(start + base, pa.int64()), pa.array(n, pa.int32()), pa.array(m.view(np.int64)), pa.array(content.view(np.int64)), pa.array(twice), pa.array(at, pa.int32())], ["rid", "key", "start", "n", "g", "content", "twice", "at"])
-
-        made = self.scratch.save(self.rows.mapInArrow(find, f"rid long, key {self.kind}, start long, n int, g long, content long, twice boolean, at int"), "runs")
-        shared = made.groupBy("g").agg(F.count("*").alias("many"), F.max("twice").alias("twice")).where("many > 1 or twice").select("g")
+        def scan(names: list[str]):
+            def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    for i, _, base, data, offsets in _pieces(batch.column(2), width):
+                        row, start, n, m, content, twice, at = runs(data, offsets, width, gram)
+                        own = pa.array(row + i)
+                        made = {"rid": lambda own=own: batch.column(0).take(own), "key": lambda own=own: batch.column(1).take(own), "start": lambda v=start + base: pa.array(v, pa.int64()), "n": lambda v=n: pa.array(v, pa.int32()), "g": lambda v=m: pa.array(v.view(np.int64)), "content": lambda v=content: pa.array(v.view(np.int64)), "twice": lambda v=twice: pa.array(v), "at": lambda v=at: pa.array(v, pa.int32())}
+                        yield pa.RecordBatch.from_arrays([made[c]() for c in names], names)
+
+            return find
+
+        # texts are scanned twice, as that is cheaper than to keep every run
+        seen = self.rows.mapInArrow(scan(["g", "twice"]), "g long, twice boolean")
+        shared = self.scratch.save(seen.groupBy("g").agg(F.count("*").alias("many"), F.max("twice").alias("twice")).where("many > 1 or twice").select("g"), "shared")
+        columns = ["rid", "key", "start", "n", "g", "content", "twice", "at"]
+        made = self.rows.mapInArrow(scan(columns), f"rid long, key {self.kind}, start long, n int, g long, content long, twice boolean, at int")
         met = self.scratch.save(made.join(shared.hint("shuffle_hash"), "g"), "met")  # one plan at every size; g is unique and evenly dealt
-        self.scratch.drop("runs")
+        self.scratch.drop("shared")
         return met
 
     def strings(self, wanted: DataFrame) -> DataFrame:
