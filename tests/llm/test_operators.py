@@ -313,3 +313,33 @@ def test_suffix_of_a_long_text(spark):
     texts = [letters, letters[1_048_500:1_048_900] + "\n" + letters[:120], letters[40:700_000] + "é"]
     got = by_id(suffix.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
     assert [spans_removed(got[i])[:3] for i in range(3)] == [(1_300_000, 0, 0), (521, 520, 2), (699_962, 699_960, 1)]
+
+
+def test_jaccard_with_null_and_repeated_keys(spark):
+    rng = np.random.default_rng(51)
+    text = lambda: " ".join(f"w{w}" for w in rng.integers(0, 10**6, 60))
+    one, two, three, four = text(), text(), text(), text()
+    rows = [(3, one), (3, two), (3, two), (5, two + " more"), (None, three), (7, three), (8, four.upper()), (6, four), (9, None), (None, "")]
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    key = lambda x: -1 if x is None else x
+    assert sorted((key(r.doc_id), r.n_shingles, key(r.component_id)) for r in got) == sorted([(3, 56, 3)] * 3 + [(5, 57, 3), (-1, 56, -1), (7, 56, -1), (8, 56, 6), (6, 56, 6), (9, 0, 9), (-1, 0, -1)])
+
+
+def test_jaccard_of_a_large_group_and_of_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    rng = np.random.default_rng(52)
+    words = lambda n: [f"w{w}" for w in rng.integers(0, 10**6, n)]
+    base, other, long = words(80), words(80), words(3000)
+    texts = []
+    for i in range(60):  # one group, its ends linked through its middle only
+        texts.append(base[: 80 - i % 12] + words(2))
+    texts += [other[:50] + words(k) for k in (10, 11, 12, 40)] + [long, long[:2400], long[:1700] + words(1300)]
+    sets = [{tuple(t[j : j + 5]) for j in range(len(t) - 4)} for t in texts]
+    group = list(range(len(texts)))
+    for _ in range(4):
+        for a in range(len(texts)):
+            for b in range(len(texts)):
+                if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                    group[a] = group[b] = min(group[a], group[b])
+    got = by_id(jaccard.join(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")))
+    assert [got[i].component_id for i in range(len(texts))] == group
