@@ -343,3 +343,53 @@ def test_jaccard_of_a_large_group_and_of_long_texts(spark, monkeypatch):
                     group[a] = group[b] = min(group[a], group[b])
     got = by_id(jaccard.join(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")))
     assert [got[i].component_id for i in range(len(texts))] == group
+
+
+def brute_lines(texts, least=20, far=2):
+    """Which lines stay, for each of ``texts`` in their order."""
+    first, found = {}, {}
+    for i, text in enumerate(texts):
+        for j, line in enumerate((text or "").split("\n")):
+            if len(line) >= least:
+                first.setdefault(line, (i, j))
+    names, group = list(first), {x: x for x in first}
+
+    def top(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for n, a in enumerate(names):
+        for b in names[:n]:
+            if abs(len(a) - len(b)) <= far and top(a) != top(b) and edits(a, b) <= far:
+                group[top(a)] = top(b)
+    for x, at in first.items():
+        found[top(x)] = min(found.get(top(x), at), at)
+    return [[j for j, x in enumerate((t or "").split("\n")) if len(x) < least or found[top(x)] == (i, j)] for i, t in enumerate(texts)]
+
+
+def test_lines_with_hot_segments_and_long_lines(spark):
+    rng = np.random.default_rng(61)
+    letter = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    head, long = letter(10), letter(900)
+    pool = [head + letter(22) for _ in range(40)]  # one segment, no near lines
+    pool += [pool[i][:k] + letter(1) + pool[i][k + 1 :] for i, k in ((0, 3), (0, 20), (1, 31), (2, 15))] + [pool[3] + "x", pool[4][1:], pool[5][:9] + pool[5][11:], pool[6][:9] + "qqq" + pool[6][9:]]
+    pool += [long, long[:400] + "é" + long[401:], long[:-2], long[:-3], "short", ""]
+    texts = ["\n".join(rng.permutation(pool)[: rng.integers(1, 12)]) for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute_lines(texts)
+    for hot in (64, 2):
+        got = by_id(lines.deduplicated(docs, hot=hot))
+        for i, text in enumerate(texts):
+            assert got[i].text == "\n".join(text.split("\n")[j] for j in want[i]) and got[i]["__removed"] == got[i]["__lines"] - len(want[i]), (hot, i)
+
+
+def test_lines_with_null_keys_repeated_rows_and_clashing_names(spark):
+    one, two = "the first of two long lines", "another one that is long as well"
+    rows = [(None, one, 1, "a"), (None, two + "\n" + one, 2, "b"), (4, one + "!", 3, "c"), (4, two, 4, "d"), (5, "x\n" + one + "\n" + "x" * 25, 5, "e"), (5, "x\n" + one + "\n" + "x" * 25, 5, "e"), (6, None, 6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone int, `__hash` string").coalesce(1)
+    done = lines.deduplicated(docs)
+    got = sorted(((r.doc_id or 0, r.text or "", r.gone, r["__hash"] or "", r["__removed"]) for r in done.collect()), key=str)
+    want = brute_lines([one, two + "\n" + one])  # null keys are first; of equal keys a hash of the text decides
+    assert done.columns == [*docs.columns, "__lines", "__removed"] and sum(x[4] for x in got if not x[0]) == 1 and want
+    assert [x for x in got if x[0]] == [(4, "", 3, "c", 1), (4, "", 4, "d", 1), (5, "x", 5, "e", 2), (5, "x\n" + "x" * 25, 5, "e", 1), (6, "", 6, "", 0)]
