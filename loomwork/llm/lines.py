@@ -9,7 +9,7 @@ beside the shared segment is within ``edits`` edits too, so it is cut into segme
 again. Links are found in steps, so that large groups of variants take linear
 work: each line, a few times, against the one hub (a line drawn from each key) that
 it shares most keys with; then, in keys that still hold more than one component,
-lines of different components. Candidates are
+lines of different components. Candidates whose counts of letters are near are
 verified by Spark's banded edit distance with a threshold.
 
 Lines of a component are one line; its first occurrence (least key, then place)
@@ -34,6 +34,8 @@ from .scratch import Scratch
 
 EDITS = 2
 MIN_CHARS = 20
+# The letters that are counted to tell lines apart.
+LETTERS = "etainrsoldcumpgh"
 #: Steps in which each line meets one hub before the lines of a key meet each other.
 ROUNDS = 2
 #: Lines of a key from which it is refined, and how often at most (what is left then still meets).
@@ -75,6 +77,24 @@ def _beside(line: Column, length: Column, pos: Column, edits: int) -> Column:
     return F.concat(F.substring(line, F.lit(1), at - 1), F.substring(line, at + size, length))
 
 
+def letters(line: Column) -> Column:
+    """How often a line has each of sixteen letters, modulo 16, packed into a long."""
+    counts = [(F.char_length(line) - F.char_length(F.replace(line, F.lit(c), F.lit("")))) % 16 for c in LETTERS]
+    packed = F.lit(0).cast("long")
+    for i, n in enumerate(counts):
+        packed = packed.bitwiseOR(F.shiftleft(n.cast("long"), 4 * i))
+    return packed
+
+
+def _may_be_near(x: str, y: str, edits: int) -> Column:
+    """An edit changes two of the counts by one at most."""
+    apart = F.lit(0)
+    for i in range(len(LETTERS)):
+        d = F.abs(F.shiftrightunsigned(x, 4 * i).bitwiseAND(F.lit(15)) - F.shiftrightunsigned(y, 4 * i).bitwiseAND(F.lit(15)))
+        apart = apart + F.least(d, 16 - d)
+    return apart <= 2 * edits
+
+
 def _verified(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
     one, two = lines.select(F.col("id").alias("a"), F.col("line").alias("x")), lines.select(F.col("id").alias("b"), F.col("line").alias("y"))
     near = F.levenshtein("x", "y", edits).between(0, edits)
@@ -84,35 +104,35 @@ def _verified(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
 def _open(members: DataFrame, part: DataFrame | None, step: int) -> DataFrame:
     """Members of the keys whose lines are in more than one component, each with the key's weight and hub.
 
-    ``members``: (k, weight, id, indexed); keys of the same lines become one of their
+    ``members``: (k, weight, id, indexed, letters); keys of the same lines become one of their
     summed weight. The hub is the indexed line of the least hash, another one at each step.
     """
-    members = members.select("k", "weight", "id", "indexed")
+    members = members.select("k", "weight", "id", "indexed", "letters")
     if part is None:
         labelled = members.withColumn("component", F.col("id"))
     else:
         labelled = members.join(part, "id", "left").withColumn("component", F.coalesce("component", "id"))
     drawn = F.when(F.col("indexed"), F.xxhash64("id", F.lit(step)))
-    hub = [F.min_by(c, drawn).alias(n) for c, n in (("id", "hub"), ("component", "theirs"))]
+    hub = [F.min_by(c, drawn).alias(n) for c, n in (("id", "hub"), ("component", "theirs"), ("letters", "other"))]
     who = [F.sum(F.xxhash64("id", "indexed", F.lit(i)).bitwiseAND(F.lit((1 << 40) - 1))).alias(f"who{i}") for i in (0, 1, 2)]
     mixed = labelled.groupBy("k").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), *who, F.count("*").alias("many"), F.first("weight").alias("weight"), *hub)
     same = ["who0", "who1", "who2", "many"]
-    mixed = mixed.where("c0 <> c1").groupBy(*same).agg(F.min("k").alias("k"), F.sum("weight").alias("weight"), *(F.min(c).alias(c) for c in ("hub", "theirs")))
+    mixed = mixed.where("c0 <> c1").groupBy(*same).agg(F.min("k").alias("k"), F.sum("weight").alias("weight"), *(F.min(c).alias(c) for c in ("hub", "theirs", "other")))
     return labelled.drop("weight").join(mixed.drop(*same), "k")
 
 
-def _voted(members: DataFrame) -> DataFrame:
+def _voted(members: DataFrame, edits: int) -> DataFrame:
     """Pairs (a, b): each line with the hub of another component that it shares most keys with."""
-    votes = members.where(F.col("component") != F.col("theirs")).groupBy("id", "hub").agg(F.sum("weight").alias("votes"))
+    votes = members.where((F.col("component") != F.col("theirs")) & _may_be_near("letters", "other", edits)).groupBy("id", "hub").agg(F.sum("weight").alias("votes"))
     best = votes.groupBy("id").agg(F.max_by("hub", ranked("votes", "hub")).alias("hub"))
     return best.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
 
 
-def _met(members: DataFrame) -> DataFrame:
+def _met(members: DataFrame, edits: int) -> DataFrame:
     """Pairs (a, b) of lines of one key and different components."""
-    here = members.where("indexed").select("k", F.col("id").alias("i"), F.col("component").alias("ci"))
-    there = members.select("k", F.col("id").alias("p"), F.col("component").alias("cp"))
-    met = here.join(there, (here["k"] == there["k"]) & (F.col("ci") != F.col("cp")))
+    here = members.where("indexed").select("k", F.col("id").alias("i"), F.col("component").alias("ci"), F.col("letters").alias("li"))
+    there = members.select("k", F.col("id").alias("p"), F.col("component").alias("cp"), F.col("letters").alias("lp"))
+    met = here.join(there, (here["k"] == there["k"]) & (F.col("ci") != F.col("cp")) & _may_be_near("li", "lp", edits))
     return met.select(F.least("i", "p").alias("a"), F.greatest("i", "p").alias("b")).distinct()
 
 
@@ -127,14 +147,15 @@ def line_links(lines: DataFrame, scratch: Scratch, edits: int = EDITS, hot: int
     keys = lines.select("id", F.posexplode("keys").alias("pos", "k")).where("k is not null")
     shared = scratch.save(_shared(keys, edits), "buckets")
     members = scratch.save(keys.join(shared.hint("shuffle_hash"), "k").select("k", "many", "id", "pos"), "shared-0")
-    near = scratch.save(lines.select("id", "line", "length").join(members.select("id").distinct().hint("merge"), "id"), "near")
+    near = lines.select("id", "line", "length").join(members.select("id").distinct().hint("merge"), "id")
+    near = scratch.save(near.withColumn("letters", letters(F.col("line"))), "near")
     ready, before = [], "shared-0"
     for level in range(1, FINER + 1):
         over = members.where(F.col("many") > hot)
         if over.isEmpty():
             break
         ready.append(members.where(F.col("many") <= hot))
-        texts = over if level > 1 else over.join(near, "id")
+        texts = over if level > 1 else over.join(near.drop("letters"), "id")
         rest = texts.select("id", "k", _beside(F.col("line"), F.col("length"), F.col("pos"), edits).alias("line"), (F.col("pos") > edits).alias("probe"))
         rest = scratch.save(rest.withColumn("length", F.char_length("line")).withColumn("keys", segment_keys(F.col("line"), F.col("length"), edits)), f"rest-{level}")
         finer = rest.select("id", "probe", "line", "length", F.col("k").alias("outer"), F.posexplode("keys").alias("pos", "k")).where("k is not null")
@@ -144,14 +165,14 @@ def line_links(lines: DataFrame, scratch: Scratch, edits: int = EDITS, hot: int
     members = ready[0].select("k", "id", "pos")
     for more in ready[1:]:
         members = members.union(more.select("k", "id", "pos"))
-    members = members.select("k", "id", (F.col("pos") <= edits).alias("indexed")).distinct().withColumn("weight", F.lit(1).cast("long"))
+    members = members.select("k", "id", (F.col("pos") <= edits).alias("indexed")).distinct().withColumn("weight", F.lit(1).cast("long")).join(near.select("id", "letters"), "id")
     part, before = None, None
     for step in range(ROUNDS + 1):
         members = scratch.save(_open(members, part, step), f"open-{step}")
         if before:
             scratch.drop(before)
         before = f"open-{step}"
-        pairs = _voted(members) if step < ROUNDS else _met(members)
+        pairs = _voted(members, edits) if step < ROUNDS else _met(members, edits)
         found = scratch.save(_verified(pairs, near, edits), f"links-{step}")
         part = merged(part, found, scratch, f"part-{step}")
     scratch.drop("buckets", before, "near", *(f"{n}-{k}" for k in range(FINER + 1) for n in ("shared", "rest")))
