@@ -393,3 +393,33 @@ def test_lines_with_null_keys_repeated_rows_and_clashing_names(spark):
     want = brute_lines([one, two + "\n" + one])  # null keys are first; of equal keys a hash of the text decides
     assert done.columns == [*docs.columns, "__lines", "__removed"] and sum(x[4] for x in got if not x[0]) == 1 and want
     assert [x for x in got if x[0]] == [(4, "", 3, "c", 1), (4, "", 4, "d", 1), (5, "x", 5, "e", 2), (5, "x\n" + "x" * 25, 5, "e", 1), (6, "", 6, "", 0)]
+
+
+def test_mixing_respects_its_cap_and_repeated_and_null_keys(spark):
+    rows = [(i % 7 if i % 3 else None, "a" if i < 90 else None, " ".join(["w"] * (i % 40)), i, "x") for i in range(200)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, size long, hash string")
+    sizes = Counter()
+    for r in rows:
+        sizes[r[1]] += len(r[2].split())
+    for cap, share in ((3, 2.5), (2, 1.5), (1, 1.0)):
+        got = mixing.mix(docs, cap=cap, share=share).collect()
+        assert len(got) == len(rows) and all(r.taken <= cap * r.size for r in got)
+        for size in sizes.values():
+            own = [r for r in got if r.source_size == size]
+            assert sum(r.taken for r in own) == pytest.approx(own[0].target, rel=0.04)
+    done = mixing.mixed(docs, cap=3, share=2.5)
+    taken = sum(r.taken for r in mixing.mix(docs, cap=3, share=2.5).collect())
+    assert done.columns == docs.columns and sum(len(r.text.split()) for r in done.collect()) == taken
+
+
+def test_shards_draw_their_sources_multinomially(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 100)
+    plan = spark.createDataFrame([(1, 500), (2, 300), (3, 199), (4, 1)], "sid int, slots long")
+    got = mixing._drawn(plan, 400, "s").collect()
+    shards = defaultdict(Counter)
+    for r in got:
+        shards[r.shard][r.sid] += r["count"]
+    assert len(shards) == 400 and all(sum(c.values()) == 100 for c in shards.values())
+    for sid, p in ((1, 0.5), (2, 0.3), (3, 0.199), (4, 0.001)):
+        counts = np.array([shards[j][sid] for j in range(400)])
+        assert abs(counts.mean() - 100 * p) < 5 * np.sqrt(100 * p * (1 - p) / 400) and 0.7 < counts.var() / (100 * p * (1 - p)) < 1.4
