@@ -17,7 +17,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -107,7 +109,7 @@ class Automaton:
             for c in self.next[a].keys() | self.next[b].keys():
                 if self._differ(self.count_on[a].get(c, 0), n1, self.count_on[b].get(c, 0), n2):
                     return False
-                if c in self.next[a] and c in self.next[b] and self.next[b][c] != b and len(todo) < 64:
+                if c in self.next[a] and c in self.next[b]:  # b's states are a tree, so this ends
                     todo.append((self.next[a][c], self.next[b][c]))
         return True
 
@@ -211,9 +213,17 @@ def spans(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
             likely = pc.match_substring_regex(texts, _FIRST_LOOK).to_numpy(zero_copy_only=False)
             base = [base_spans(texts[i].as_py()) if likely[i] else [] for i in range(len(texts))]
             other: list[list] = [[] for _ in base]
+            starts = [[s for s, _, _, _ in row] for row in base]
+            ends = [list(accumulate((e for _, _, e, _ in row), max)) for row in base]
+
+            def free(row: int, a: int, b: int, starts: list = starts, ends: list = ends) -> bool:
+                """Whether no fixed span, of those by start, meets a..b."""
+                before = bisect_left(starts[row], b)
+                return not before or ends[row][before - 1] <= a
+
             for i, _, data, offsets in T.slices(texts):
                 for row, a, b, value in _candidates(data, offsets):
-                    if not any(s < b and a < e for s, _, e, _ in base[i + row]):
+                    if free(i + row, a, b):
                         other[i + row].append((a, 3, b, value))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(shape, base), span), pa.array(map(shape, other), span)], [key, "base", "candidates"])
 

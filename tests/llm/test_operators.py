@@ -423,3 +423,46 @@ def test_shards_draw_their_sources_multinomially(spark, monkeypatch):
     for sid, p in ((1, 0.5), (2, 0.3), (3, 0.199), (4, 0.001)):
         counts = np.array([shards[j][sid] for j in range(400)])
         assert abs(counts.mean() - 100 * p) < 5 * np.sqrt(100 * p * (1 - p) / 400) and 0.7 < counts.var() / (100 * p * (1 - p)) < 1.4
+
+
+def test_passages_whose_parts_come_first_in_several_documents(spark):
+    rng = np.random.default_rng(71)
+    for _ in range(3):
+        words = lambda n: [f"w{w}" for w in rng.integers(0, 10**6, n)]
+        shared = words(64)
+        texts = [words(20) + shared[:32] + words(20), words(20) + shared[32:] + words(20), words(10) + shared + words(30), words(40) + shared + words(5), shared[:40] + words(30)]
+        docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+        got = {(r.doc_id, r.match_doc_id, r.start_word, r.end_word) for r in passages.passages(docs).collect()}
+        assert got == {(3, 2, 40, 104)}
+
+
+def test_passages_of_repeated_rows_and_null_keys(spark):
+    rng = np.random.default_rng(72)
+    one, two = (" ".join(f"w{w}" for w in rng.integers(0, 10**6, 70)) for _ in range(2))
+    rows = [(1, one), (1, one), (2, one), (None, one), (3, two), (4, "x " + two), (4, "x " + two), (5, None), (6, "")]
+    got = sorted((r.doc_id, r.start_word, r.end_word, r.match_doc_id) for r in passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(2, 0, 70, 1), (4, 1, 71, 3)]
+
+
+def test_states_with_many_branches_are_compared_whole():
+    marks = [chr(200 + i) for i in range(90)]
+    for odd in range(0, 90, 7):
+        a = object.__new__(secrets.Automaton)
+        a.bound, n = 1.0, len(marks)
+        a.count, a.ends = [9000] * 2 + [1000] * 2 * n, [0] * 2 + [1000] * n + [0 if i == odd else 1000 for i in range(n)]
+        a.next = [{c: 2 + i for i, c in enumerate(marks)}, {c: 2 + n + i for i, c in enumerate(marks)}] + [{}] * 2 * n
+        a.count_on = [{c: 1000 for c in on} for on in a.next]
+        assert not a._compatible(0, 1)
+
+
+def test_secrets_against_plain_regular_expressions(spark):
+    rng = np.random.default_rng(73)
+    pieces = ["token = ", 'API_KEY:"', "password=", "secret : ", "AKIA", "0123456789abcdef" * 2, "Abc+/_.=-9", "é", " ", "\n", "akia", "deadbeef" * 5, "ABCDEFGHIJKLMNOP12", "passwd", "'", "zz"]
+    texts = ["".join(rng.choice(pieces, rng.integers(0, 40))) for _ in range(300)] + [None, "", "token=" + "a" * 50_000, ("token=abcdefgh1 " * 3000)]
+    forms = [(re.compile("(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"), 1, 8), (re.compile("(AKIA[A-Z0-9]+)"), 1, 16), (re.compile("([0-9a-f]+)"), 1, 32)]
+    got = by_id(secrets.digest(secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))))
+    for i, text in enumerate(texts):
+        base = sorted((m.start(), k, m.end()) for k, (form, g, least) in enumerate(forms) for m in form.finditer(text or "") if len(m[g]) >= least)
+        shown = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in base)
+        assert [got[i].n_assign, got[i].n_access, got[i].n_hex] == [sum(k == j for _, k, _ in base) for j in range(3)]
+        assert got[i].base_sha256 == hashlib.sha256(shown.encode()).hexdigest() and set(shown.split(",")) - {""} <= set(got[i].spans.split(","))
