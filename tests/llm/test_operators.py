@@ -466,3 +466,29 @@ def test_secrets_against_plain_regular_expressions(spark):
         shown = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in base)
         assert [got[i].n_assign, got[i].n_access, got[i].n_hex] == [sum(k == j for _, k, _ in base) for j in range(3)]
         assert got[i].base_sha256 == hashlib.sha256(shown.encode()).hexdigest() and set(shown.split(",")) - {""} <= set(got[i].spans.split(","))
+
+
+def test_passages_with_an_edit_every_few_words(spark):
+    rng = np.random.default_rng(74)
+    word = lambda: f"w{rng.integers(10**8)}"
+    words = lambda n: [word() for _ in range(n)]
+    for every in (20, 10):
+        rows = []
+        for i in range(60):
+            text = words(60)
+            edited = [word() if (j + every // 2) % every == 0 else w for j, w in enumerate(text)]
+            rows += [(2 * i, " ".join(words(20) + text + words(20))), (2 * i + 1, " ".join(words(20) + edited + words(20)))]
+        found = passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sum(r.match_doc_id == r.doc_id - 1 and r.identity >= 0.75 for r in found) >= 0.95 * 60
+
+
+def test_passages_cover_every_earlier_window(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    texts, spans, seen = sorted((r.doc_id, WORD.findall((r.text or "").translate(lower))) for r in docs.collect()), defaultdict(list), set()
+    for r in passages.passages(docs).collect():
+        spans[r.doc_id].append((r.start_word, r.end_word))
+    for key, words in texts:
+        own = [tuple(words[i : i + 50]) for i in range(len(words) - 49)]
+        assert all(w not in seen or any(s <= i and i + 50 <= e for s, e in spans[key]) for i, w in enumerate(own))
+        seen |= set(own)
