@@ -129,14 +129,15 @@ def test_trees_find_all_similar_pairs():
     sets.sort(key=len)
     first = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
     sig, n = jaccard.signatures(np.concatenate(sets), first), np.diff(first)
-    tree = jaccard.Tree(n, np.arange(70), sig)
-    found = set(map(tuple, tree.pairs(tree).tolist()))
+    sig = np.array([np.frombuffer(x, np.uint8) for x in sig])
+    tree = jaccard.Tree(n, n, np.arange(70), sig)
+    found = set(zip(*(v.tolist() for v in tree.pairs(tree)[:2]), strict=True))
     similar = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 75 * len(np.union1d(a, b))
     want = {(i, j) for i in range(70) for j in range(i + 1, 70) if similar(sets[i], sets[j])}
     assert want and want <= found and len(found) < 70 * 69 / 4
     x, y = np.arange(0, 70, 2), np.arange(1, 70, 2)
-    across = jaccard.Tree(n[x], x, sig[x]).pairs(jaccard.Tree(n[y], y, sig[y]))
-    assert {p for p in want if (p[0] + p[1]) % 2} <= {tuple(sorted((int(x[a]), int(y[b])))) for a, b in across}
+    a, b, _ = jaccard.Tree(n[x], n[x], x, sig[x]).pairs(jaccard.Tree(n[y], n[y], y, sig[y]))
+    assert {p for p in want if (p[0] + p[1]) % 2} <= {tuple(sorted((int(x[i]), int(y[j])))) for i, j in zip(a, b, strict=True)}
 
 
 def test_chains_against_brute_force():
