@@ -172,19 +172,20 @@ def extra_gradient(f: Logistic, steps: int, radius: float = 10.0, start: np.ndar
     return w, float(f(w)[0] - f.penalty * w @ w)
 
 
-def score_test(df: DataFrame, features: Sequence[str], candidates: Sequence[str], label: str, weights: np.ndarray) -> tuple[float, float]:
-    """(statistic, p-value) of adding ``candidates`` to a fitted logistic model, from one pass; the p-value by Wilson and Hilferty's cube root."""
+def score_test(df: DataFrame, features: Sequence[str], candidates: Sequence[str], label: str, weights: np.ndarray, penalty: float = 0.0) -> tuple[float, float]:
+    """(statistic, p-value) of adding ``candidates`` to a logistic model fitted with ``penalty``, from one pass; the p-value by Wilson and Hilferty's cube root."""
     d, k = len(features) + 1, len(candidates)
 
     def partial(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         p = 1 / (1 + np.exp(-np.clip(x[:, :d] @ weights, -700, 700)))
-        return x.T @ np.column_stack([x * (p * (1 - p))[:, None], y - p])
-
-    s = _sum_rows(_design(df, [*features, *candidates], label), partial, d + k, d + k + 1)
-    info, slope = s[:, :-1], s[:, -1]
-    back = info[d:, :d] @ np.linalg.pinv(info[:d, :d])
-    left = slope[d:] - back @ slope[:d]
-    statistic = float(left @ np.linalg.pinv(info[d:, d:] - back @ info[:d, d:]) @ left)
+        return x.T @ np.column_stack([x * (p * (1 - p))[:, None], y - p, np.ones(len(x))])
+
+    s = _sum_rows(_design(df, [*features, *candidates], label), partial, d + k, d + k + 2)
+    info, slope = s[:, :-2] + 2 * penalty * s[0, -1] * np.eye(d + k), s[d:, -2]  # the first column is 1, so its sum counts rows
+    left = info[d:, d:] - info[d:, :d] @ np.linalg.pinv(info[:d, :d]) @ info[:d, d:]
+    statistic = float(slope @ np.linalg.pinv(left, hermitian=True) @ slope)
+    if statistic <= 0:
+        return statistic, 1.0
     scale = 2 / (9 * k)
     z = (np.cbrt(statistic / k) - (1 - scale)) / math.sqrt(scale)
     return statistic, 0.5 * math.erfc(z / math.sqrt(2))

@@ -86,3 +86,86 @@ def prevalence_scores(train: DataFrame, rows: DataFrame, by: Sequence[str], posi
         match = match & F.col(c).eqNullSafe(F.col(f"k_{c}"))
     found = rows.join(known, match, "left").join(F.broadcast(overall))  # one row
     return found.select(*rows.columns, F.coalesce("rate", "overall").alias("score"))
+
+
+def quantiles(df: DataFrame, column: str, levels: Sequence[float], pieces: int = 64) -> list[float]:
+    """Exact quantiles of what is known, between values in proportion; none for an empty column.
+
+    Values are counted first; ranks are sought in value ranges of about as many rows,
+    so no task orders more than its range of distinct values.
+    """
+    values = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    cuts = df.agg(F.percentile_approx(F.col(column).cast("double"), [i / pieces for i in range(1, pieces)], 1000)).first()[0]
+    if not cuts:
+        return []
+    piece = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < F.col("v")))
+    values = values.withColumn("piece", piece)
+    rows = dict(values.groupBy("piece").agg(F.sum("n")).collect())  # at most ``pieces`` rows
+    base, total = {}, 0
+    for k in sorted(rows):
+        base[k], total = total, total + rows[k]
+    at = [q * (total - 1) for q in levels]
+    ranks = sorted({int(r) for r in at} | {min(int(r) + 1, total - 1) for r in at})
+    upto = F.sum("n").over(Window.partitionBy("piece").orderBy("v"))
+    before = F.element_at(F.create_map(*(F.lit(x).cast(t) for k in base for x, t in ((k, "int"), (base[k], "long")))), F.col("piece"))
+    ranked = values.withColumn("upto", before + upto).withColumn("from", F.col("upto") - F.col("n"))
+    wanted = F.filter(F.array(*(F.lit(r).cast("long") for r in ranks)), lambda r: (r >= F.col("from")) & (r < F.col("upto")))
+    found = {r: v for v, r in ranked.select("v", F.explode(wanted).alias("r")).collect()}  # a row for each rank
+    return [found[int(r)] + (r - int(r)) * (found[min(int(r) + 1, total - 1)] - found[int(r)]) for r in at]
+
+
+def prevalence_by_group(df: DataFrame, column: str, positive: Column, bins: int = 10, min_rows: int = 30, most_values: int = 60) -> DataFrame:
+    """(low, high, n, rate): by value, or by quantile range where there are more than ``most_values``; NULL is a group of its own.
+
+    A range holds its lower edge; the last one its upper edge too. Edges that are equal make one.
+    """
+    if df.select(column).where(F.col(column).isNotNull()).distinct().limit(most_values + 1).count() <= most_values:
+        low = high = F.col(column).cast("double")
+    else:
+        edges = sorted(set(quantiles(df, column, [i / bins for i in range(bins + 1)])))
+        array, last = F.array(*map(F.lit, edges)), len(edges) - 2
+        bin_ = F.greatest(F.lit(0), F.least(F.lit(last), F.size(F.filter(array, lambda e: e <= F.col(column))) - 1))
+        low, high = (F.when(F.col(column).isNotNull(), F.get(array, bin_ + k)) for k in (0, 1))
+    grouped = df.select(low.alias("low"), high.alias("high"), positive.alias("y"))
+    return prevalence(grouped, ["low", "high"], F.col("y"), min_rows)
+
+
+def adjusted_prevalence(df: DataFrame, by: str, stratum: str, positive: Column) -> DataFrame:
+    """(by, n, rate, adjusted): prevalence as if every group had the whole table's strata, of those it has."""
+    cells = df.groupBy(by, stratum).agg(F.count("*").alias("n"), F.sum(positive.cast("double")).alias("p"))
+    weights = df.groupBy(stratum).agg(F.count("*").alias("w")).withColumnRenamed(stratum, "known")
+    cells = cells.join(weights, F.col(stratum).eqNullSafe(F.col("known")))
+    return cells.groupBy(by).agg(F.sum("n").alias("n"), (F.sum("p") / F.sum("n")).alias("rate"), (F.sum(F.col("w") * F.col("p") / F.col("n")) / F.sum("w")).alias("adjusted"))
+
+
+def missing_classes(df: DataFrame, columns: Sequence[str], bounds: Sequence[float] = (0.0, 0.01, 0.1, 0.5, 0.9)) -> DataFrame:
+    """(class, columns): how many columns miss a share of their values up to each of ``bounds``, the last class above all."""
+    shares = df.agg(*(F.avg(F.col(c).isNull().cast("double")).alias(c) for c in columns))
+    long = shares.select(F.explode(F.array(*columns)).alias("share"))
+    kind = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("share")))
+    return long.groupBy(kind.alias("class")).agg(F.count("*").alias("columns"))
+
+
+def one_per_group(df: DataFrame, columns: Sequence[str], most: float = 0.9) -> list[str]:
+    """Of ``columns``, the most important first, those whose missing rows do not correlate by more than ``most`` with those of one kept before.
+
+    One pass counts, for each pair, the rows that miss both; columns that miss all or no rows are kept.
+    """
+    masks = [F.col(c).isNull() for c in columns]
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1)]
+    cells = F.array(*(F.when(masks[i] & masks[j], F.lit(k)) for k, (i, j) in enumerate(pairs)))
+    counts = dict(df.select(F.explode(F.array_compact(cells)).alias("cell")).groupBy("cell").count().collect())  # a row for each pair at most
+    n = df.count()
+    both = {p: counts.get(k, 0) / max(n, 1) for k, p in enumerate(pairs)}
+    kept: list[int] = []
+    for i in range(len(columns)):
+        spread = lambda j: both[j, j] * (1 - both[j, j])
+        near = lambda j: spread(i) > 0 and spread(j) > 0 and abs(both[i, j] - both[i, i] * both[j, j]) > most * (spread(i) * spread(j)) ** 0.5
+        if not any(near(j) for j in kept):
+            kept.append(i)
+    return [columns[i] for i in kept]
+
+
+def shared_keys(one: DataFrame, two: DataFrame, key: str) -> DataFrame:
+    """One row (shared): how many keys come in both tables."""
+    return one.select(key).intersect(two.select(key)).agg(F.count("*").alias("shared"))

@@ -61,3 +61,19 @@ def blend(df: DataFrame, a: str, b: str, label: str, steps: int = 20) -> tuple[f
         if row and row.fbeta > best[2]:
             best = (w, float(row.threshold), float(row.fbeta))
     return best
+
+
+def best_rows(results: DataFrame, by: str, score: str) -> DataFrame:
+    """The row of the greatest finite ``score`` of each group; of equal ones the first by all columns."""
+    finite = results.where(F.col(score).isNotNull() & ~F.isnan(score) & (F.abs(score) < float("inf")))
+    rest = [c for c in results.columns if c not in (by, score)]
+    best = finite.groupBy(by).agg(F.min(F.struct((-F.col(score)).alias("low"), *rest)).alias("b"))
+    return best.select(*((-F.col("b.low")).alias(c) if c == score else F.col(by) if c == by else F.col(f"b.{c}") for c in results.columns))
+
+
+def paired(results: DataFrame, variant: str, fold: str, score: str, reference: str) -> DataFrame:
+    """(variant, mean_difference, better): each variant against ``reference`` on the same folds."""
+    own = results.where(F.col(variant) == reference).select(F.col(fold).alias("f"), F.col(score).alias("r"))
+    both = results.where(F.col(variant) != reference).join(own, F.col(fold) == F.col("f"))
+    difference = F.col(score) - F.col("r")
+    return both.groupBy(variant).agg(F.avg(difference).alias("mean_difference"), F.count_if(difference > 0).alias("better"))

@@ -145,7 +145,7 @@ def column_profile(spark, sf_dir):
 
 
 def leakage_scan(spark, sf_dir):
-    d = profiles.leakage(_coded(spark, sf_dir), ["code"], F.col("y"), 0.48, 30)
+    d = profiles.leakage(_coded(spark, sf_dir), ["code"], F.col("y"), 0.33, 30)
     return d.select("column", "value", "n", F.round("rate", 6).alias("rate"))
 
 
@@ -202,6 +202,61 @@ def feature_pipeline(spark, sf_dir):
     return fitted.transform(rows, "o_orderkey").select("o_orderkey", F.round("price", 5).alias("price"), F.round("`price^2`", 5).alias("price_2"))
 
 
+def predict_labels(spark, sf_dir):
+    y = F.when(F.col("y"), 1).otherwise(-1)
+    d = _coded(spark, sf_dir).select("o_orderkey", metrics.with_known(metrics.predicted(F.col("price"), 150000.0), F.col("code") == 7).alias("label"), metrics.to_01(y).alias("y01"), metrics.class_weights(y, 2.5).alias("weight"))
+    return d
+
+
+def stratified_split(spark, sf_dir):
+    return sampling.stratified_split(_coded(spark, sf_dir).select("o_orderkey", "y"), "y", "o_orderkey", 0.2)
+
+
+def prevalence_by_decile(spark, sf_dir):
+    d = statistics.prevalence_by_group(_coded(spark, sf_dir), "price", F.col("y"))
+    return d.select(F.round("low", 2).alias("low"), F.round("high", 2).alias("high"), "n", F.round("rate", 6).alias("rate"))
+
+
+def quantile_levels(spark, sf_dir):
+    levels = [0.0, 0.005, 0.5, 0.99, 0.995, 1.0]
+    found = statistics.quantiles(_t(spark, sf_dir, "lineitem"), "l_extendedprice", levels)
+    return spark.createDataFrame([(q, round(v, 2)) for q, v in zip(levels, found, strict=True)], "level double, value double")
+
+
+def age_adjusted_rate(spark, sf_dir):
+    d = statistics.adjusted_prevalence(_coded(spark, sf_dir), "code", "o_orderpriority", F.col("y"))
+    return d.select("code", "n", F.round("rate", 6).alias("rate"), F.round("adjusted", 6).alias("adjusted"))
+
+
+def missing_classes(spark, sf_dir):
+    d = _coded(spark, sf_dir).withColumn("rare", F.when(F.col("o_orderkey") % 50 == 0, 1.0))
+    return statistics.missing_classes(d, ["code", "price", "rare"])
+
+
+def one_per_group(spark, sf_dir):
+    k = F.col("o_orderkey")
+    d = _t(spark, sf_dir, "orders").select(F.when(k % 4 > 0, 1).alias("a"), F.when(k % 4 == 0, 1).alias("b"), F.when((k % 4 > 0) | (k % 97 == 0), 1).alias("c"), F.when(k % 3 > 0, 1).alias("d"), F.lit(1).alias("e"))
+    return spark.createDataFrame([(c,) for c in statistics.one_per_group(d, ["a", "b", "c", "d", "e"])], "kept string")
+
+
+def id_overlap(spark, sf_dir):
+    return statistics.shared_keys(_t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), "k")
+
+
+def _results(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders")
+    return o.groupBy(F.col("o_orderpriority").alias("variant"), (F.col("o_orderkey") % 5).cast("int").alias("fold")).agg(F.round(F.avg("o_totalprice"), 4).alias("score"))
+
+
+def best_rows(spark, sf_dir):
+    return validation.best_rows(_results(spark, sf_dir), "variant", "score")
+
+
+def paired_ablation(spark, sf_dir):
+    d = validation.paired(_results(spark, sf_dir), "variant", "fold", "score", "1-URGENT")
+    return d.select("variant", F.round("mean_difference", 3).alias("mean_difference"), "better")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents joined with their labels, cleaned, standardised, scored and cut at the best F1."""
     d = _t(spark, sf_dir, "documents").join(_t(spark, sf_dir, "labels"), "doc_id")
@@ -244,14 +299,29 @@ ORACLE_SQL = {
     "gram_matrix": "SELECT count(*) AS n, round(sum(a), 3) AS sa, round(sum(b), 3) AS sb, round(sum(a * a), 3) AS saa, round(sum(a * b), 3) AS sab, round(sum(b * b), 3) AS sbb, round(sum(y), 3)::DOUBLE AS sy, round(sum(a * y), 3) AS say, round(sum(b * y), 3) AS sby FROM (SELECT l_quantity / 10 AS a, l_discount AS b, (l_returnflag = 'R')::INT AS y FROM lineitem)",
     "every_nth_row": "SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS r FROM orders) WHERE r % 50 = 0",
     "column_profile": f"WITH v AS (SELECT 'code' AS c, code AS v FROM {_CODED} UNION ALL SELECT 'price', price FROM {_CODED}), g AS (SELECT c, v, count(*) AS n FROM v GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY n DESC, v IS NULL DESC, v) AS k FROM g), p AS (SELECT c AS \"column\", sum(n)::BIGINT AS n, count(v) AS \"distinct\", coalesce(sum(n) FILTER (v IS NULL), 0) / sum(n) AS m, max(v) FILTER (k = 1) AS top_value, max(n) / sum(n) AS t FROM r GROUP BY c) SELECT \"column\", n, \"distinct\", round(m, 6) AS missing, top_value, round(t, 6) AS top_share, CASE WHEN \"distinct\" = 0 THEN 'all missing' WHEN \"distinct\" = 1 AND m = 0 THEN 'constant' WHEN \"distinct\" = 1 THEN 'one value' WHEN top_value IS NOT NULL AND t > 0.99 THEN 'near-constant' WHEN m > 0.5 THEN 'mostly missing' ELSE 'varied' END AS status FROM p",
-    "leakage_scan": f"SELECT 'code' AS \"column\", code AS value, count(*) AS n, round(avg(y::INT), 6) AS rate FROM {_CODED} GROUP BY code HAVING count(*) >= 30 AND avg(y::INT) >= 0.48",
+    "leakage_scan": f"SELECT 'code' AS \"column\", code AS value, count(*) AS n, round(avg(y::INT), 6) AS rate FROM {_CODED} GROUP BY code HAVING count(*) >= 30 AND avg(y::INT) >= 0.33",
     "determination": "WITH j AS (SELECT n_nationkey AS a, n_regionkey AS b, count(*) AS n FROM nation GROUP BY ALL), t AS (SELECT sum(n) AS t FROM j), h AS (SELECT (SELECT -sum(n / t * log2(n / t)) FROM (SELECT a, sum(n) AS n FROM j GROUP BY a), t) AS ha, (SELECT -sum(n / t * log2(n / t)) FROM (SELECT b, sum(n) AS n FROM j GROUP BY b), t) AS hb, (SELECT -sum(n / t * log2(n / t)) FROM j, t) AS hj) SELECT round((ha + hb - hj) / hb, 6) AS b_by_a, round((ha + hb - hj) / ha, 6) AS a_by_b FROM h",
     "best_rule_f1": f"SELECT round(max(2.0::DOUBLE * tp / (called + pos)), 6) AS f1 FROM (SELECT sum(p) OVER w AS tp, sum(n) OVER w AS called, sum(p) OVER () AS pos FROM (SELECT code, count(*) AS n, sum(y::INT) AS p FROM {_CODED} GROUP BY code) WINDOW w AS (ORDER BY p / n DESC, code NULLS FIRST ROWS UNBOUNDED PRECEDING))",
     "pairwise_corr": "WITH d AS (SELECT CASE WHEN l_orderkey % 7 <> 0 THEN l_quantity END AS quantity, CASE WHEN l_orderkey % 5 <> 0 THEN l_extendedprice END AS price, l_discount AS discount FROM lineitem) SELECT 'price' AS a, 'quantity' AS b, count(*) FILTER (price IS NOT NULL AND quantity IS NOT NULL) AS n, round(corr(price, quantity), 5) AS r FROM d UNION ALL SELECT 'discount', 'quantity', count(quantity), round(corr(discount, quantity), 5) FROM d UNION ALL SELECT 'discount', 'price', count(price), round(corr(discount, price), 5) FROM d",
 }
 
+_RESULTS = "(SELECT o_orderpriority AS variant, (o_orderkey % 5)::INT AS fold, round(avg(o_totalprice), 4) AS score FROM orders GROUP BY ALL)"
+ORACLE_SQL |= {
+    "predict_labels": f"SELECT o_orderkey, CASE WHEN code = 7 THEN 1 WHEN price >= 150000 THEN 1 WHEN price < 150000 THEN -1 END AS label, CASE WHEN y THEN 1.0 ELSE 0.0 END::DOUBLE AS y01, CASE WHEN y THEN 2.5 ELSE 1.0 END::DOUBLE AS weight FROM {_CODED}",
+    "stratified_split": f"SELECT o_orderkey, y, r < round_even(0.2 * c, 0) AS validation FROM (SELECT o_orderkey, y, {_RANKED} AS r, count(*) OVER (PARTITION BY y) AS c FROM {_CODED})",
+    "prevalence_by_decile": f"WITH e AS (SELECT list_sort(list_distinct(quantile_cont(price, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS e FROM {_CODED}), b AS (SELECT y, price, e, greatest(1, least(len(e) - 1, len(list_filter(e, lambda x: x <= price)))) AS b FROM {_CODED}, e) SELECT round(CASE WHEN price IS NOT NULL THEN e[b] END, 2) AS low, round(CASE WHEN price IS NOT NULL THEN e[b + 1] END, 2) AS high, count(*) AS n, round(avg(y::INT), 6) AS rate FROM b GROUP BY 1, 2 HAVING count(*) >= 30",
+    "quantile_levels": "SELECT unnest([0.0, 0.005, 0.5, 0.99, 0.995, 1.0])::DOUBLE AS level, round(unnest(quantile_cont(l_extendedprice, [0.0, 0.005, 0.5, 0.99, 0.995, 1.0])), 2) AS value FROM lineitem",
+    "age_adjusted_rate": f"WITH c AS (SELECT code, o_orderpriority AS s, count(*) AS n, sum(y::INT) AS p FROM {_CODED} GROUP BY ALL), w AS (SELECT o_orderpriority AS s, count(*) AS w FROM orders GROUP BY ALL) SELECT code, sum(n)::BIGINT AS n, round(sum(p) / sum(n), 6) AS rate, round(sum(w * p / n) / sum(w), 6) AS adjusted FROM c JOIN w USING (s) GROUP BY code",
+    "missing_classes": f"SELECT CASE WHEN s <= 0 THEN 0 WHEN s <= 0.01 THEN 1 WHEN s <= 0.1 THEN 2 WHEN s <= 0.5 THEN 3 WHEN s <= 0.9 THEN 4 ELSE 5 END AS class, count(*) AS columns FROM (SELECT unnest([avg((code IS NULL)::INT), avg((price IS NULL)::INT), avg((o_orderkey % 50 <> 0)::INT)]) AS s FROM {_CODED}) GROUP BY 1",
+    "one_per_group": "WITH m AS (SELECT (o_orderkey % 4 = 0)::INT AS a, (o_orderkey % 4 > 0)::INT AS b, (o_orderkey % 4 = 0 AND o_orderkey % 97 > 0)::INT AS c, (o_orderkey % 3 = 0)::INT AS d FROM orders), r AS (SELECT abs(corr(a, b)) AS ab, abs(corr(a, c)) AS ac, abs(corr(a, d)) AS ad FROM m) SELECT 'a' AS kept UNION ALL SELECT 'b' FROM r WHERE ab <= 0.9 UNION ALL SELECT 'c' FROM r WHERE ac <= 0.9 UNION ALL SELECT 'd' FROM r WHERE ad <= 0.9 UNION ALL SELECT 'e'",
+    "id_overlap": "SELECT count(*) AS shared FROM (SELECT o_custkey FROM orders INTERSECT SELECT c_custkey FROM customer)",
+    "best_rows": f"SELECT variant, fold, score FROM (SELECT *, row_number() OVER (PARTITION BY variant ORDER BY score DESC, fold) AS k FROM {_RESULTS}) WHERE k = 1",
+    "paired_ablation": f"SELECT a.variant, round(avg(a.score - b.score), 3) AS mean_difference, count(*) FILTER (a.score > b.score) AS better FROM {_RESULTS} a JOIN {_RESULTS} b ON a.fold = b.fold AND b.variant = '1-URGENT' WHERE a.variant <> '1-URGENT' GROUP BY a.variant",
+}
+
 QUERIES = {f.__name__: f for f in (
     codes_to_null, unit_codes, month_codes, skip_logic_chain, bin_digitize, missing_rate_diff, impute_median, impute_mode, one_hot_min_rows, standardize_pop, value_histogram, entropy_mi, tvd_shift,
     prevalence_by_value, prevalence_lookup, confusion, prf_fbeta, best_threshold, log_loss, stratified_kfold, undersample_exact, gram_matrix, newton_full, every_nth_row, column_profile, leakage_scan, determination, best_rule_f1, pairwise_corr,
+    predict_labels, stratified_split, prevalence_by_decile, quantile_levels, age_adjusted_rate, missing_classes, one_per_group, id_overlap, best_rows, paired_ablation,
     feature_pipeline, boosted_trees, forest, hybrid_trees, ridge_cv, flagship,
 )}
