@@ -101,9 +101,11 @@ def _verified(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where(near).select("a", "b")
 
 
-def _open(members: DataFrame, part: DataFrame | None, step: int) -> DataFrame:
+def _open(members: DataFrame, part: DataFrame | None, step: int, edits: int) -> DataFrame:
     """Members of the keys whose lines are in more than one component, each with the key's weight and hub.
 
+    Keys of two lines are left out where the letters of these are too far apart.
+
     ``members``: (k, weight, id, indexed, letters); keys of the same lines become one of their
     summed weight. The hub is the indexed line of the least hash, another one at each step.
     """
@@ -115,7 +117,8 @@ def _open(members: DataFrame, part: DataFrame | None, step: int) -> DataFrame:
     drawn = F.when(F.col("indexed"), F.xxhash64("id", F.lit(step)))
     hub = [F.min_by(c, drawn).alias(n) for c, n in (("id", "hub"), ("component", "theirs"), ("letters", "other"))]
     who = [F.sum(F.xxhash64("id", "indexed", F.lit(i)).bitwiseAND(F.lit((1 << 40) - 1))).alias(f"who{i}") for i in (0, 1, 2)]
-    mixed = labelled.groupBy("k").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), *who, F.count("*").alias("many"), F.first("weight").alias("weight"), *hub)
+    mixed = labelled.groupBy("k").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), *who, F.count("*").alias("many"), F.first("weight").alias("weight"), F.min_by("letters", "id").alias("l0"), F.max_by("letters", "id").alias("l1"), *hub)
+    mixed = mixed.where((F.col("many") > 2) | _may_be_near("l0", "l1", edits))
     same = ["who0", "who1", "who2", "many"]
     mixed = mixed.where("c0 <> c1").groupBy(*same).agg(F.min("k").alias("k"), F.sum("weight").alias("weight"), *(F.min(c).alias(c) for c in ("hub", "theirs", "other")))
     return labelled.drop("weight").join(mixed.drop(*same), "k")
@@ -168,7 +171,7 @@ def line_links(lines: DataFrame, scratch: Scratch, edits: int = EDITS, hot: int
     members = members.select("k", "id", (F.col("pos") <= edits).alias("indexed")).distinct().withColumn("weight", F.lit(1).cast("long")).join(near.select("id", "letters"), "id")
     part, before = None, None
     for step in range(ROUNDS + 1):
-        members = scratch.save(_open(members, part, step), f"open-{step}")
+        members = scratch.save(_open(members, part, step, edits), f"open-{step}")
         if before:
             scratch.drop(before)
         before = f"open-{step}"
