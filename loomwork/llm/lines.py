@@ -6,11 +6,12 @@ segments under its length and probes those substrings of its own that could be a
 segment of an equally long or shorter line. Keys that only one line has fall out by
 aggregation. Keys of more than ``HOT`` lines are refined: what is left of their lines
 beside the shared segment is within ``edits`` edits too, so it is cut into segments
-again. Links are found in steps, so that large groups of variants take linear
-work: each line, a few times, against the one hub (a line drawn from each key) that
-it shares most keys with; then, in keys that still hold more than one component,
-lines of different components. Candidates whose counts of letters are near are
-verified by Spark's banded edit distance with a threshold.
+again. In keys of up to ``HOT`` lines, those that have no line of near counts of
+letters beside them fall out. Links are found in steps, so that large groups of
+variants take linear work: each line, a few times, against the one hub (a line drawn
+from each key) that it shares most keys with; then, in keys that still hold more than
+one component, lines of different components. Candidates whose counts of letters are
+near are verified by Spark's banded edit distance with a threshold.
 
 Lines of a component are one line; its first occurrence (least key, then place)
 stays, the others are removed. Lines under ``min_chars`` characters have no edit
@@ -101,10 +102,19 @@ def _verified(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where(near).select("a", "b")
 
 
-def _open(members: DataFrame, part: DataFrame | None, step: int, edits: int) -> DataFrame:
-    """Members of the keys whose lines are in more than one component, each with the key's weight and hub.
+def _possible(members: DataFrame, edits: int, hot: int) -> DataFrame:
+    """Members whose key has another line of near counts of letters, one of the two indexed; of keys of over ``hot`` lines, all.
+
+    ``members``: (k, many, id, indexed, letters). No member meets more than ``hot`` others here.
+    """
+    few = members.where(F.col("many") <= hot)
+    other = few.select(F.col("k").alias("key"), F.col("id").alias("beside"), F.col("indexed").alias("own"), F.col("letters").alias("theirs"))
+    may_link = (F.col("k") == F.col("key")) & (F.col("id") != F.col("beside")) & (F.col("indexed") | F.col("own")) & _may_be_near("letters", "theirs", edits)
+    return few.join(other, may_link, "left_semi").union(members.where(F.col("many") > hot))
 
-    Keys of two lines are left out where the letters of these are too far apart.
+
+def _open(members: DataFrame, part: DataFrame | None, step: int) -> DataFrame:
+    """Members of the keys whose lines are in more than one component, each with the key's weight and hub.
 
     ``members``: (k, weight, id, indexed, letters); keys of the same lines become one of their
     summed weight. The hub is the indexed line of the least hash, another one at each step.
@@ -117,8 +127,7 @@ def _open(members: DataFrame, part: DataFrame | None, step: int, edits: int) ->
     drawn = F.when(F.col("indexed"), F.xxhash64("id", F.lit(step)))
     hub = [F.min_by(c, drawn).alias(n) for c, n in (("id", "hub"), ("component", "theirs"), ("letters", "other"))]
     who = [F.sum(F.xxhash64("id", "indexed", F.lit(i)).bitwiseAND(F.lit((1 << 40) - 1))).alias(f"who{i}") for i in (0, 1, 2)]
-    mixed = labelled.groupBy("k").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), *who, F.count("*").alias("many"), F.first("weight").alias("weight"), F.min_by("letters", "id").alias("l0"), F.max_by("letters", "id").alias("l1"), *hub)
-    mixed = mixed.where((F.col("many") > 2) | _may_be_near("l0", "l1", edits))
+    mixed = labelled.groupBy("k").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), *who, F.count("*").alias("many"), F.first("weight").alias("weight"), *hub)
     same = ["who0", "who1", "who2", "many"]
     mixed = mixed.where("c0 <> c1").groupBy(*same).agg(F.min("k").alias("k"), F.sum("weight").alias("weight"), *(F.min(c).alias(c) for c in ("hub", "theirs", "other")))
     return labelled.drop("weight").join(mixed.drop(*same), "k")
@@ -165,20 +174,21 @@ def line_links(lines: DataFrame, scratch: Scratch, edits: int = EDITS, hot: int
         finer = finer.withColumn("k", F.xxhash64("outer", "k"))
         members = scratch.save(finer.join(_shared(finer, edits).hint("shuffle_hash"), "k").select("k", "many", "id", "pos", "line", "length"), f"shared-{level}")
     ready.append(members)
-    members = ready[0].select("k", "id", "pos")
+    members = ready[0].select("k", "many", "id", "pos")
     for more in ready[1:]:
-        members = members.union(more.select("k", "id", "pos"))
-    members = members.select("k", "id", (F.col("pos") <= edits).alias("indexed")).distinct().withColumn("weight", F.lit(1).cast("long")).join(near.select("id", "letters"), "id")
+        members = members.union(more.select("k", "many", "id", "pos"))
+    members = members.select("k", "many", "id", (F.col("pos") <= edits).alias("indexed")).distinct().join(near.select("id", "letters"), "id")
+    members = scratch.save(_possible(scratch.save(members, "members"), edits, hot), "possible").withColumn("weight", F.lit(1).cast("long"))
     part, before = None, None
     for step in range(ROUNDS + 1):
-        members = scratch.save(_open(members, part, step, edits), f"open-{step}")
+        members = scratch.save(_open(members, part, step), f"open-{step}")
         if before:
             scratch.drop(before)
         before = f"open-{step}"
         pairs = _voted(members, edits) if step < ROUNDS else _met(members, edits)
         found = scratch.save(_verified(pairs, near, edits), f"links-{step}")
         part = merged(part, found, scratch, f"part-{step}")
-    scratch.drop("buckets", before, "near", *(f"{n}-{k}" for k in range(FINER + 1) for n in ("shared", "rest")))
+    scratch.drop("buckets", "members", "possible", before, "near", *(f"{n}-{k}" for k in range(FINER + 1) for n in ("shared", "rest")))
     return part
 
 
