@@ -169,3 +169,22 @@ def one_per_group(df: DataFrame, columns: Sequence[str], most: float = 0.9) -> l
 def shared_keys(one: DataFrame, two: DataFrame, key: str) -> DataFrame:
     """One row (shared): how many keys come in both tables."""
     return one.select(key).intersect(two.select(key)).agg(F.count("*").alias("shared"))
+
+
+def discretized(df: DataFrame, column: str, bins: int = 10, most_values: int = 60) -> DataFrame:
+    """``df`` with code: the place of the value among the values, or its quantile range where there are more than ``most_values``; NULL stays."""
+    known = df.select(F.col(column).cast("double").alias("v")).where("v is not null").distinct().limit(most_values + 1).collect()
+    if len(known) <= most_values:
+        starts, last = sorted(r.v for r in known), len(known) - 1
+    else:
+        starts = sorted(set(quantiles(df, column, [i / bins for i in range(bins + 1)])))
+        last = max(len(starts) - 2, 0)
+    below = F.size(F.filter(F.array(*map(F.lit, starts)).cast("array<double>"), lambda e: e <= F.col(column))) - 1
+    return df.withColumn("code", F.when(F.col(column).isNotNull(), F.least(below, F.lit(last))))
+
+
+def value_ranges(df: DataFrame, column: str, low: float, high: float, levels: Sequence[float] = (0.0, 0.005, 0.5, 0.99, 0.995, 1.0)) -> DataFrame:
+    """One row: n known values, quantiles as an array, population skewness, and how many values lie outside ``low`` to ``high``."""
+    found = F.array(*map(F.lit, quantiles(df, column, levels))).cast("array<double>")
+    v = F.col(column).cast("double")
+    return df.agg(F.count(v).alias("n"), F.skewness(v).alias("skewness"), F.count_if(~v.between(low, high)).alias("outside")).withColumn("quantiles", found)

@@ -90,7 +90,7 @@ def prevalence_by_value(spark, sf_dir):
 
 def prevalence_lookup(spark, sf_dir):
     c = _coded(spark, sf_dir)
-    found = statistics.prevalence_scores(c.where("o_orderkey % 5 <> 0 and code <> 3"), c.where("o_orderkey % 5 = 0"), ["code"], F.col("y"))
+    found = statistics.prevalence_scores(c.where("o_orderkey % 5 <> 0 and code <> 3"), c, ["code"], F.col("y"))
     return found.select("o_orderkey", F.round("score", 6).alias("score"))
 
 
@@ -223,6 +223,18 @@ def quantile_levels(spark, sf_dir):
     return spark.createDataFrame([(q, round(v, 2)) for q, v in zip(levels, found, strict=True)], "level double, value double")
 
 
+def discretize_values(spark, sf_dir):
+    by_range = statistics.discretized(_coded(spark, sf_dir), "price").withColumnRenamed("code", "price_bin")
+    ranges = by_range.groupBy("price_bin").agg(F.count("*").alias("n")).select(F.lit("price").alias("column"), F.col("price_bin").cast("double").alias("code"), "n")
+    sizes = statistics.discretized(_t(spark, sf_dir, "part"), "p_size").groupBy("code").agg(F.count("*").alias("n"))
+    return ranges.union(sizes.select(F.lit("p_size"), F.col("code").cast("double"), "n"))
+
+
+def ranges_and_outliers(spark, sf_dir):
+    d = statistics.value_ranges(_coded(spark, sf_dir), "price", 20000.0, 300000.0)
+    return d.select("n", F.round("skewness", 5).alias("skewness"), "outside", *(F.round(F.col("quantiles")[i], 2).alias(f"q{i}") for i in range(6)))
+
+
 def age_adjusted_rate(spark, sf_dir):
     d = statistics.adjusted_prevalence(_coded(spark, sf_dir), "code", "o_orderpriority", F.col("y"))
     return d.select("code", "n", F.round("rate", 6).alias("rate"), F.round("adjusted", 6).alias("adjusted"))
@@ -289,7 +301,7 @@ ORACLE_SQL = {
     "entropy_mi": f"WITH j AS (SELECT o_orderpriority AS a, y AS b, count(*) AS n FROM {_CODED} GROUP BY ALL), t AS (SELECT sum(n) AS t FROM j), ha AS (SELECT -sum(n / t * log2(n / t)) AS h FROM (SELECT a, sum(n) AS n FROM j GROUP BY a), t), hb AS (SELECT -sum(n / t * log2(n / t)) AS h FROM (SELECT b, sum(n) AS n FROM j GROUP BY b), t), hj AS (SELECT -sum(n / t * log2(n / t)) AS h FROM j, t) SELECT round(ha.h, 6) AS entropy_a, round(hb.h, 6) AS entropy_b, round(ha.h + hb.h - hj.h, 6) AS mutual_information FROM ha, hb, hj",
     "tvd_shift": "WITH a AS (SELECT p_brand AS v, count(*) / sum(count(*)) OVER () AS s FROM part WHERE p_partkey % 3 = 0 GROUP BY 1), b AS (SELECT p_brand AS v, count(*) / sum(count(*)) OVER () AS s FROM part WHERE p_partkey % 3 <> 0 GROUP BY 1) SELECT round(0.5 * sum(abs(coalesce(a.s, 0) - coalesce(b.s, 0))), 6) AS distance FROM a FULL JOIN b ON a.v = b.v",
     "prevalence_by_value": f"SELECT code, count(*) AS n, round(avg(y::INT), 6) AS rate FROM {_CODED} GROUP BY code HAVING count(*) >= 5",
-    "prevalence_lookup": f"WITH t AS (SELECT code, y FROM {_CODED} WHERE o_orderkey % 5 <> 0 AND code <> 3), g AS (SELECT code, avg(y::INT) AS r FROM t GROUP BY code) SELECT o_orderkey, round(coalesce(r, (SELECT avg(y::INT) FROM t)), 6) AS score FROM {_CODED} c LEFT JOIN g ON c.code = g.code WHERE o_orderkey % 5 = 0",
+    "prevalence_lookup": f"WITH t AS (SELECT code, y FROM {_CODED} WHERE o_orderkey % 5 <> 0 AND code <> 3), g AS (SELECT code, avg(y::INT) AS r FROM t GROUP BY code) SELECT o_orderkey, round(coalesce(r, (SELECT avg(y::INT) FROM t)), 6) AS score FROM {_CODED} c LEFT JOIN g ON c.code = g.code",
     "confusion": _CONFUSION,
     "prf_fbeta": f"SELECT round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(5.0 * tp / (5.0 * tp + 4.0 * fn + fp), 6)::DOUBLE AS fbeta FROM ({_CONFUSION})",
     "best_threshold": f"WITH g AS (SELECT s, sum(y::INT) AS p, sum((NOT y)::INT) AS n FROM {_SCORED} GROUP BY s), c AS (SELECT s, sum(p) OVER w AS tp, sum(n) OVER w AS fp, sum(p) OVER () AS ap, sum(n) OVER () AS an FROM g WINDOW w AS (ORDER BY s DESC)) SELECT s AS threshold, tp::BIGINT AS tp, fp::BIGINT AS fp, (ap - tp)::BIGINT AS fn, (an - fp)::BIGINT AS tn, round(2.0::DOUBLE * tp / (tp + fp + ap), 6) AS fbeta FROM c ORDER BY 2.0::DOUBLE * tp / (tp + fp + ap) DESC, s DESC LIMIT 1",
@@ -311,6 +323,8 @@ ORACLE_SQL |= {
     "stratified_split": f"SELECT o_orderkey, y, r < round_even(0.2 * c, 0) AS validation FROM (SELECT o_orderkey, y, {_RANKED} AS r, count(*) OVER (PARTITION BY y) AS c FROM {_CODED})",
     "prevalence_by_decile": f"WITH e AS (SELECT list_sort(list_distinct(quantile_cont(price, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS e FROM {_CODED}), b AS (SELECT y, price, e, greatest(1, least(len(e) - 1, len(list_filter(e, lambda x: x <= price)))) AS b FROM {_CODED}, e) SELECT round(CASE WHEN price IS NOT NULL THEN e[b] END, 2) AS low, round(CASE WHEN price IS NOT NULL THEN e[b + 1] END, 2) AS high, count(*) AS n, round(avg(y::INT), 6) AS rate FROM b GROUP BY 1, 2 HAVING count(*) >= 30",
     "quantile_levels": "SELECT unnest([0.0, 0.005, 0.5, 0.99, 0.995, 1.0])::DOUBLE AS level, round(unnest(quantile_cont(l_extendedprice, [0.0, 0.005, 0.5, 0.99, 0.995, 1.0])), 2) AS value FROM lineitem",
+    "discretize_values": f"WITH e AS (SELECT list_sort(list_distinct(quantile_cont(price, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS e FROM {_CODED}) SELECT 'price' AS \"column\", CASE WHEN price IS NOT NULL THEN least(len(e) - 2, len(list_filter(e, lambda x: x <= price)) - 1) END::DOUBLE AS code, count(*) AS n FROM {_CODED}, e GROUP BY 2 UNION ALL SELECT 'p_size', (row_number() OVER (ORDER BY p_size) - 1)::DOUBLE, count(*) FROM part GROUP BY p_size",
+    "ranges_and_outliers": f"WITH d AS (SELECT price, avg(price) OVER () AS m FROM {_CODED}), q AS (SELECT quantile_cont(price, [0.0, 0.005, 0.5, 0.99, 0.995, 1.0]) AS q FROM {_CODED}) SELECT count(price) AS n, round(avg((price - m) ** 3) / avg((price - m) ** 2) ** 1.5, 5) AS skewness, count(*) FILTER (price < 20000 OR price > 300000) AS outside, round(any_value(q[1]), 2) AS q0, round(any_value(q[2]), 2) AS q1, round(any_value(q[3]), 2) AS q2, round(any_value(q[4]), 2) AS q3, round(any_value(q[5]), 2) AS q4, round(any_value(q[6]), 2) AS q5 FROM d, q",
     "age_adjusted_rate": f"WITH c AS (SELECT code, o_orderpriority AS s, count(*) AS n, sum(y::INT) AS p FROM {_CODED} GROUP BY ALL), w AS (SELECT o_orderpriority AS s, count(*) AS w FROM orders GROUP BY ALL) SELECT code, sum(n)::BIGINT AS n, round(sum(p) / sum(n), 6) AS rate, round(sum(w * p / n) / sum(w), 6) AS adjusted FROM c JOIN w USING (s) GROUP BY code",
     "missing_classes": f"SELECT CASE WHEN s <= 0 THEN 0 WHEN s <= 0.01 THEN 1 WHEN s <= 0.1 THEN 2 WHEN s <= 0.5 THEN 3 WHEN s <= 0.9 THEN 4 ELSE 5 END AS class, count(*) AS columns FROM (SELECT unnest([avg((code IS NULL)::INT), avg((price IS NULL)::INT), avg((o_orderkey % 50 <> 0)::INT)]) AS s FROM {_CODED}) GROUP BY 1",
     "one_per_group": "WITH m AS (SELECT (o_orderkey % 4 = 0)::INT AS a, (o_orderkey % 4 > 0)::INT AS b, (o_orderkey % 4 = 0 AND o_orderkey % 97 > 0)::INT AS c, (o_orderkey % 3 = 0)::INT AS d FROM orders), r AS (SELECT abs(corr(a, b)) AS ab, abs(corr(a, c)) AS ac, abs(corr(a, d)) AS ad FROM m) SELECT 'a' AS kept UNION ALL SELECT 'b' FROM r WHERE ab <= 0.9 UNION ALL SELECT 'c' FROM r WHERE ac <= 0.9 UNION ALL SELECT 'd' FROM r WHERE ad <= 0.9 UNION ALL SELECT 'e'",
@@ -322,6 +336,6 @@ ORACLE_SQL |= {
 QUERIES = {f.__name__: f for f in (
     codes_to_null, unit_codes, month_codes, skip_logic_chain, bin_digitize, missing_rate_diff, impute_median, impute_mode, one_hot_min_rows, standardize_pop, value_histogram, entropy_mi, tvd_shift,
     prevalence_by_value, prevalence_lookup, confusion, prf_fbeta, best_threshold, log_loss, stratified_kfold, undersample_exact, gram_matrix, newton_full, every_nth_row, column_profile, leakage_scan, determination, best_rule_f1, pairwise_corr,
-    predict_labels, stratified_split, prevalence_by_decile, quantile_levels, age_adjusted_rate, missing_classes, one_per_group, id_overlap, best_rows, paired_ablation,
+    predict_labels, stratified_split, prevalence_by_decile, quantile_levels, discretize_values, ranges_and_outliers, age_adjusted_rate, missing_classes, one_per_group, id_overlap, best_rows, paired_ablation,
     feature_pipeline, boosted_trees, forest, hybrid_trees, ridge_cv, flagship,
 )}

@@ -20,6 +20,25 @@ def test_quantiles(spark, table):
     assert statistics.quantiles(spark.createDataFrame([(3.0,)] * 5, "v double"), "v", [0, 0.5, 1]) == [3.0] * 3
 
 
+def test_discretized(spark, table):
+    v = np.array([r.v for r in table.collect() if r.v is not None])
+    edges = np.unique(np.quantile(v, np.linspace(0, 1, 11)))
+    for r in statistics.discretized(table, "v").collect():
+        assert r.code == (None if r.v is None else min(np.searchsorted(edges, r.v, "right") - 1, len(edges) - 2))
+    assert {(r.c, r.code) for r in statistics.discretized(table, "c").collect()} == {(float(i), i) for i in range(4)}
+    assert [r.code for r in statistics.discretized(spark.createDataFrame([(None,)] * 2, "v double"), "v").collect()] == [None] * 2
+
+
+def test_value_ranges(table):
+    v = np.array([r.v for r in table.collect() if r.v is not None])
+    got = statistics.value_ranges(table, "v", -1.0, 1.0, [0, 0.5, 1]).first()
+    z = (v - v.mean()) / v.std()
+    assert (got.n, got.outside) == (len(v), int((abs(v) > 1).sum())) and got.skewness == pytest.approx((z**3).mean())
+    assert got.quantiles == pytest.approx(np.quantile(v, [0, 0.5, 1]).tolist())
+    empty = statistics.value_ranges(table.where("id < 0"), "v", -1.0, 1.0).first()
+    assert (empty.n, empty.outside, empty.quantiles) == (0, 0, [])
+
+
 def test_prevalence_by_group(table):
     by_value = {r.low: r.n for r in statistics.prevalence_by_group(table, "c", F.col("y")).collect()}
     assert by_value == {0.0: 250, 1.0: 250, 2.0: 250, 3.0: 250}
