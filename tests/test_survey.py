@@ -2,6 +2,7 @@ import math
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def rows(frame):
     names = sorted(frame.columns)
-    return sorted(repr([None if v is None or v != v else round(float(v), 5) if isinstance(v, (int, float)) else v for v in r]) for r in frame[names].astype(object).values.tolist())
+    return sorted(repr([None if v is None or v is pd.NA or v != v else round(float(v), 5) if isinstance(v, (int, float)) else v for v in r]) for r in frame[names].astype(object).values.tolist())
 
 
 @pytest.fixture(scope="module")
