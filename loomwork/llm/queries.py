@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, lines, media, mixing, packing, passages, quality, repetition, secrets, suffix
+from . import collocations, jaccard, lines, media, mixing, packing, passages, quality, repetition, secrets, suffix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,5 +51,9 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored(_table(spark, sf_dir, "documents"), with_media=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op3_passages, op4_secrets, op5_mixing, op6_suffix, op7_lines, op8_jaccard, op9_repetition, op10_media)}
-ORACLE_SQL: dict[str, str] = {}
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op3_passages, op4_secrets, op5_mixing, op6_suffix, op7_lines, op8_jaccard, op9_repetition, op10_media, op13_collocations)}
+ORACLE_SQL: dict[str, str] = {"op13_collocations": collocations.ORACLE_SQL}

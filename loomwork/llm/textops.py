@@ -49,22 +49,41 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(32))
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans, eight bytes at a time.
+
+    Each chunk is finalised together with its place before chunks are added up, so that
+    no pattern of letters cancels out, as it can in a polynomial modulo 2**64.
+    """
+    size = (end - start).astype(np.int64)
+    count = (size + 7) >> 3
+    ends = np.cumsum(count)
+    owner = np.repeat(np.arange(len(size)), count)
+    place = np.arange(len(owner)) - (ends - count)[owner]
+    padded = np.concatenate([np.ascontiguousarray(data, np.uint8), np.zeros(8, np.uint8)])
+    view = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    chunk = view[start[owner] + 8 * place]
+    spare = np.maximum(8 * place + 8 - size[owner], 0).astype(U64) * U64(8)
+    chunk = (chunk << spare) >> spare
+    total = np.concatenate([np.zeros(1, U64), np.cumsum(mix(mix(chunk + U64(0x632BE59BD9B4E019)) + place.astype(U64) * U64(_R)), dtype=U64)])
+    return mix(total[ends] - total[ends - count] + size.astype(U64) * U64(0xD6E8FEB86659FD93))
+
+
 class SpanHash:
-    """64-bit hashes of byte spans in constant time after one pass."""
+    """Hashes of byte spans of a slice; those of all spans of one length by a rolling polynomial, which only groups."""
 
     def __init__(self, data: np.ndarray):
-        self.inverse = powers(_R_INV, len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, U64)
-        np.cumsum(_BYTE[data] * powers(_R, len(data) + 1)[: len(data)], out=self.sums[1:])
+        self.data = data
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        raw = (self.sums[end] - self.sums[start]) * self.inverse[start]
-        return mix(raw + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
+        return span_hashes(self.data, start, end)
 
     def grams(self, k: int) -> np.ndarray:
-        """The hash of every span of ``k`` bytes, as calls give it."""
-        n = len(self.sums) - k
-        return mix((self.sums[k:] - self.sums[:n]) * self.inverse[:n] + U64(k * 0xD6E8FEB86659FD93 % (1 << 64)))
+        """A hash of every span of ``k`` bytes, in one pass; unequal spans may share it, so compare what it brings together."""
+        inverse, n = powers(_R_INV, len(self.data) + 1), len(self.data) + 1 - k
+        sums = np.zeros(len(self.data) + 1, U64)
+        np.cumsum(_BYTE[self.data] * powers(_R, len(self.data) + 1)[: len(self.data)], out=sums[1:])
+        return mix((sums[k:] - sums[:n]) * inverse[:n] + U64(k * 0xD6E8FEB86659FD93 % (1 << 64)))
 
 
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
