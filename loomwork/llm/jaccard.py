@@ -28,7 +28,7 @@ null component; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +56,8 @@ FORESTS = 3
 #: Bytes of bitmaps that are compared at once.
 AT_ONCE = 1 << 25
 
+Candidates = Callable[[pa.Table, int], tuple[np.ndarray, np.ndarray, np.ndarray]]
+
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each row, sorted, and the index of each row's first."""
@@ -300,7 +302,7 @@ def _candidates(group: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray,
     return a, b, most / np.maximum(n[a] + n[b], 1)
 
 
-def search(members: DataFrame, percent: int, spanning: bool) -> DataFrame:
+def search(members: DataFrame, percent: int, spanning: bool, candidates: Candidates = _candidates) -> DataFrame:
     """Pairs (a, b) of ids in one group, not in one component, that signatures let be similar; or only forests of them.
 
     ``members``: (g, side, id, n, rest, component, near, signature).
@@ -308,7 +310,7 @@ def search(members: DataFrame, percent: int, spanning: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, "g"):
-            a, b, most = _candidates(group, percent)
+            a, b, most = candidates(group, percent)
             if spanning and len(a) > 1:
                 kept = forest(a, b, most, group.column("component").to_numpy())
                 a, b = a[kept], b[kept]
@@ -442,10 +444,14 @@ def link(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = WORD
     return base, part
 
 
-def join(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(key, n_shingles, component_id): the least key that links reach; a document's own where its set is empty."""
-    base, linked = link(docs, text, key, k, percent)
+def labelled(base: DataFrame, linked: DataFrame, key: str) -> DataFrame:
+    """(key, n_shingles, component_id) of the documents in ``base`` (key, id, n); ``linked``: (id, component)."""
     whole = base.where("n > 0").join(linked, "id", "left").withColumn("class", F.coalesce("component", "id"))
     least = whole.groupBy("class").agg(F.min(F.struct("key")).alias("least"))
     found = whole.join(least, "class").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("least.key").alias("component_id"))
     return found.unionByName(base.where("n = 0").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("key").alias("component_id")))
+
+
+def join(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(key, n_shingles, component_id): the least key that links reach; a document's own where its set is empty."""
+    return labelled(*link(docs, text, key, k, percent), key)

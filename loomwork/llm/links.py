@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     both = links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")), F.struct("a", F.col("a").alias("b")), F.struct(F.col("b").alias("a"), "b"))).alias("x")).select("x.a", "x.b").distinct()
     both = scratch.save(both, f"{name}-links")
     labels = scratch.save(both.groupBy("a").agg(F.min("b").alias("label")), f"{name}-0")
-    for step in range(1, 64):
+    for step in count(1):
         at = labels.select(F.col("a").alias("b"), "label")
         met = both.join(at, "b").groupBy("a").agg(F.min("label").alias("low"), F.max(F.when(F.col("a") == F.col("b"), F.col("label"))).alias("label"))
         top = labels.select(F.col("a").alias("low"), F.col("label").alias("top"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, collocations, jaccard, lines, media, mixing, packing, passages, quality, repetition, secrets, suffix
+from . import alignment, collocations, jaccard, lines, media, mixing, packing, passages, quality, repetition, secrets, suffix, superminhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,10 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored(_table(spark, sf_dir, "documents"), with_media=False)
 
 
+def op11_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superminhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment(_table(spark, sf_dir, "documents"))
 
@@ -59,5 +63,5 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op3_passages, op4_secrets, op5_mixing, op6_suffix, op7_lines, op8_jaccard, op9_repetition, op10_media, op12_alignment, op13_collocations)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op3_passages, op4_secrets, op5_mixing, op6_suffix, op7_lines, op8_jaccard, op9_repetition, op10_media, op11_superminhash, op12_alignment, op13_collocations)}
 ORACLE_SQL: dict[str, str] = {"op13_collocations": collocations.ORACLE_SQL}
