@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from . import textops as T
@@ -171,6 +171,20 @@ class Stack:
             yield last[0][:, None], np.array([last[1]])
 
 
+def _frequent(words: DataFrame) -> list[Row]:
+    """(hash, f) of the most frequent words, at most ``CODES``: those above a count that a histogram of sixteenths of powers of two gives."""
+    level = F.floor(F.log2("f") * 16)
+    counts = {r["level"]: r["n"] for r in words.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()}  # 1024 rows at most
+    least, total = 0, 0
+    for at in sorted(counts, reverse=True):
+        total += counts[at]
+        if total > CODES:
+            least = at + 1
+            break
+    found = words.where(level >= least).select("hash", "f").collect()
+    return sorted(found, key=lambda r: (-r["f"], r["hash"]))
+
+
 def _columns(n: int) -> list[str]:
     return [f"w{k}" for k in range(1, n + 1)]
 
@@ -232,7 +246,7 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
             break
         scratch.drop(f"words-{seed}")
         seed += 1
-    frequent = words.orderBy(F.desc("f"), "hash").limit(CODES).select("hash", "f").collect()  # CODES rows at most
+    frequent = _frequent(words)
     share = (words.agg(F.sum("f")).first()[0] or 0) / max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     hot = [k + 1 for k, r in enumerate(frequent) if r["f"] > share]  # no more than there are partitions
     hashes = np.array([r["hash"] for r in frequent], np.int64).view(T.U64)
