@@ -31,7 +31,7 @@ from .packing import _BYTES
 from .scratch import Scratch
 
 #: Bytes of text in a slice; a longer text is a slice of its own.
-SLICE = 8 << 20
+SLICE = 32 << 20
 MARK = "▁"
 _SPLIT = b" \n"
 #: White space outside ASCII, in UTF-8.
@@ -130,27 +130,33 @@ def align(pair: Pair, segments: list[str]) -> dict[str, list]:
     return {"good": good, "n_a": na, "n_b": nb, "n_groups": n_groups, "n_links": n_links, "groups": [";".join(groups[x:y]) for x, y in pairwise(g)], "links": (packed, n_links)}
 
 
+def _planes(places: np.ndarray) -> bytes:
+    """Numbers as bytes of one weight after those of another, which compresses well as high ones are zero."""
+    return places.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _places(planes: pa.Scalar) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes.as_buffer(), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
 def slices(docs: DataFrame, paths: tuple[str, str], key: str, text: str) -> DataFrame:
     """Rows of two kinds: (slice, place, segment, n) of a slice's distinct segments, and (slice, key, spots) of its documents."""
     kind = dict(docs.select(key).dtypes)[key]
 
     def cut(keys: pa.Array, texts: pa.Array, part: int, number: int) -> pa.RecordBatch:
-        pair, seen, spots = _pair(paths), {}, []
-        for value in texts:
-            if not value.is_valid or not len(value.as_buffer()):
-                spots.append(b"")
-                continue
-            raw = b" " + value.as_buffer().to_pybytes()
-            at = [0, *pair.cuts(np.frombuffer(raw, np.uint8)).tolist(), len(raw)]
-            own = [seen.setdefault(raw[x:y], len(seen)) for x, y in pairwise(at)]
-            spots.append(np.array(own, "<i4").tobytes())
-        used = np.concatenate([np.frombuffer(s, "<i4") for s in spots]) if spots else np.zeros(0, np.int32)
-        counts = np.bincount(used, minlength=len(seen))
-        n, m = len(seen), len(spots)
-        where = pa.array([(part << 33) + number] * (n + m), pa.int64())
+        whole = [b" " + v.as_buffer().to_pybytes() if v.is_valid and len(v.as_buffer()) else b"" for v in texts]
+        stops = np.cumsum([len(w) for w in whole])
+        raw = b"".join(whole)
+        data = np.frombuffer(raw, np.uint8)
+        starts = np.union1d(np.concatenate([[0], stops]), _pair(paths).cuts(data)) if raw else np.zeros(1, np.int64)
+        segments = pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts.astype(np.int64).tobytes()), pa.py_buffer(raw)]).dictionary_encode()
+        place = segments.indices.to_numpy()
+        first = np.searchsorted(starts, np.concatenate([[0], stops]))
+        spots = [_planes(place[a:b]) for a, b in pairwise(first.tolist())]
+        n, m = len(segments.dictionary), len(spots)
         return pa.RecordBatch.from_arrays([
-            where, pa.array([*range(n), *[None] * m], pa.int32()), pa.array([*(s.decode() for s in seen), *[None] * m], pa.string()),
-            pa.array([*counts.tolist(), *[None] * m], pa.int64()), pa.concat_arrays([pa.nulls(n, keys.type), keys]), pa.array([*[None] * n, *spots], pa.binary()),
+            pa.array([(part << 33) + number] * (n + m), pa.int64()), pa.array([*range(n), *[None] * m], pa.int32()), pa.concat_arrays([segments.dictionary.cast(pa.binary()).cast(pa.string()), pa.nulls(m, pa.string())]),
+            pa.concat_arrays([pa.array(np.bincount(place, minlength=n), pa.int64()), pa.nulls(m, pa.int64())]), pa.concat_arrays([pa.nulls(n, keys.type), keys]), pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(spots, pa.binary())]),
         ], ["slice", "place", "segment", "n", "key", "spots"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +211,7 @@ def _without(lists: pa.Table, documents: pa.Table) -> pa.Table:
     good[lists.column("place").to_numpy()] = lists.column("good").to_numpy(zero_copy_only=False)
     total = np.zeros(lists.num_rows, np.int64)
     for s in documents.column("spots"):
-        own = np.frombuffer(s.as_buffer(), "<i4")
+        own = _places(s)
         if good[own].all():
             total += np.bincount(own, minlength=len(total))
     n = total[lists.column("place").to_numpy()]
@@ -224,7 +230,7 @@ def _composed(lists: pa.Table, documents: pa.Table) -> pa.Table:
     groups = [s.encode() for s in lists.column("groups").take(pa.array(order)).to_pylist()]
     found, digests = np.zeros((documents.num_rows, len(COUNTS)), np.int64), []
     for i, s in enumerate(documents.column("spots")):
-        own = np.frombuffer(s.as_buffer(), "<i4")
+        own = _places(s)
         if len(own) and good[own].all():
             found[i] = values[own].sum(0)
             digests.append(hashlib.sha256(b";".join(map(groups.__getitem__, own.tolist()))).hexdigest())
@@ -237,10 +243,10 @@ def documents_and_pairs(docs: DataFrame, text: str = "text", key: str = "doc_id"
     """(key, counts, groups_sha256) of each document, and (a, b, count, best) of each linked pair of ids of the corpus."""
     scratch, paths = Scratch(docs.sparkSession, "alignment"), paths or _default_paths()
     kind = dict(docs.select(key).dtypes)[key]
-    made = scratch.save(slices(docs, paths, key, text), "slices")
+    made = scratch.save(slices(docs, paths, key, text), "slices", "zstd")
     lists, documents = made.where("place is not null").select("slice", "place", "segment", "n"), made.where("place is null").select(F.col("slice").alias("own"), "key", "spots")
     distinct = lists.groupBy("segment").agg(F.sum("n").alias("n"))
-    known = scratch.save(aligned(distinct.select("segment"), paths), "aligned")
+    known = scratch.save(aligned(distinct.select("segment"), paths), "aligned", "zstd")
     bad = known.where("not good")
     if bad.isEmpty():
         counts = distinct
@@ -257,7 +263,8 @@ def documents_and_pairs(docs: DataFrame, text: str = "text", key: str = "doc_id"
     spread = known.where("n_links > 0").select("segment", F.explode("links").alias("pair")).groupBy("segment", "pair").agg(F.count("*").alias("times"))
     scores = spread.join(rated, "pair").groupBy("segment").agg(F.sum(F.col("times") * F.col("best")).alias("n_best"), F.sum(F.col("times") * F.col("count")).alias("count_sum"))
     whole = known.drop("links").join(scores, "segment", "left").fillna(0, ["n_best", "count_sum"])
-    whole = scratch.save(whole, "scored")
+    whole = scratch.save(whole, "scored", "zstd")
+    scratch.drop("aligned")
     back = lists.select("slice", "place", "segment").join(whole, "segment").drop("segment")
     found = back.groupBy("slice").cogroup(documents.groupBy("own")).applyInArrow(_composed, f"key {kind}, " + ", ".join(f"{c} long" for c in COUNTS) + ", groups_sha256 string")
     ids = pairs.join(best, "b").select(F.shiftright("pair", 32).cast("int").alias("a"), F.col("b").cast("int"), "count", (F.col("count") == F.col("most")).alias("best"))

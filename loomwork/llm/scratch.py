@@ -41,11 +41,11 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/loomwork/{label}-{uuid.uuid4().hex[:12]}"
         Scratch.roots.append(self.root)
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
         before = self.spark.conf.get(_FILE_CLEANUP, None)
         self.spark.conf.set(_FILE_CLEANUP, "true")
         try:
-            df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+            df.write.mode("overwrite").option("compression", compression).parquet(f"{self.root}/{name}")
         finally:
             if before is None:
                 self.spark.conf.unset(_FILE_CLEANUP)
