@@ -43,7 +43,9 @@ PLACES = 128
 ROWS = 4
 #: Standard deviations that a link's estimate may lie under the threshold.
 SLACK = 6
-#: Steps that emit spanning forests: the first on all buckets, later ones on those of several blocks.
+#: Bands of the first step, which joins most near copies; later steps only look at buckets that still hold two components.
+FIRST = 4
+#: Steps that emit spanning forests: the first on some bands, the second on all, later ones on buckets of several blocks.
 FORESTS = 3
 _FRACTION = 24
 #: Shingles whose permutations are held at once.
@@ -96,7 +98,7 @@ def bands(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 
 def nodes(docs: DataFrame, text: str, key: str, k: int, places: int, rows: int) -> DataFrame:
-    """(key, told, id, id2, n, signature, bands) of each document; ``id`` and ``id2`` hash its set, ``told`` its text."""
+    """(key, told, id, id2, n, signature, bands) of each document; ``id`` and ``id2`` hash its set, ``told`` its text; of a place the signature keeps a byte, bands are told by whole places."""
     kind = dict(docs.select(key).dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +110,7 @@ def nodes(docs: DataFrame, text: str, key: str, k: int, places: int, rows: int)
                 keys = bands(made, rows)
                 ends = np.arange(len(made) + 1, dtype=np.int32) * keys.shape[1]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(one), pa.array(two), pa.array(np.diff(first), pa.int64()), pa.array([s.tobytes() for s in made], pa.binary()), pa.ListArray.from_arrays(ends, keys.view(np.int64).ravel())],
+                    [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(one), pa.array(two), pa.array(np.diff(first), pa.int64()), pa.array([s.tobytes() for s in made.astype(np.uint8)], pa.binary()), pa.ListArray.from_arrays(ends, keys.view(np.int64).ravel())],
                     ["key", "told", "id", "id2", "n", "signature", "bands"],
                 )
 
@@ -119,7 +121,7 @@ def _candidates(group: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray,
     """Rows (a, b) of a group whose signatures may be those of a link, and the agreeing places; between its two sides, or within it where it has one."""
     get = lambda c: group.column(c).to_numpy()
     n, component, side = get("n"), get("component"), get("side")
-    made = np.stack([np.frombuffer(s.as_buffer(), np.uint32) for s in group.column("signature")])
+    made = np.stack([np.frombuffer(s.as_buffer(), np.uint8) for s in group.column("signature")])
     p, places = percent / 100, made.shape[1]
     least = places * p - SLACK * math.sqrt(places * p * (1 - p))
     sides = np.unique(side)
@@ -150,22 +152,22 @@ def link(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = WORD
     own = scratch.save(made.join(known.select(F.col("node").alias("row")), "row").select(F.col("row").alias("id"), "n", "signature", "bands"), "own")
     scratch.drop("nodes")
     marks = own.select("id", "signature")
-    spread = own.select("id", "n", F.explode("bands").alias("token")).withColumn("rest", F.col("n"))
+    spread = own.select("id", "n", F.posexplode("bands").alias("band", "token")).withColumn("rest", F.col("n"))
     shared = spread.groupBy("token").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("token")
-    members = scratch.save(spread.join(shared, "token"), "shared")
-    part, before = None, "shared"
+    shared = scratch.save(spread.join(shared, "token"), "shared")
+    part, members = None, shared
     for step in range(FORESTS + 1):
         last = step == FORESTS
-        if not 0 < step < FORESTS or not members.where(F.col("size") > jaccard.BLOCK).isEmpty():
-            members = scratch.save(jaccard._open(members, part, percent), f"open-{step}")
-            scratch.drop(before)
-            before = f"open-{step}"
-            some = members if step == 0 or last else members.where(F.col("size") > jaccard.BLOCK)
-            met = (jaccard._met(some) if last else jaccard._dealt(some, step, "component")).join(marks, "id")
-            pairs = scratch.save(jaccard.search(met, percent, not last, _candidates), f"pairs-{step}")
-            found = jaccard.verify(pairs, known, docs, scratch, f"links-{step}", text, key, k, percent)
-            scratch.drop(f"pairs-{step}")
-            part = merged(part, found, scratch, f"part-{step}")
+        if 1 < step < FORESTS and members.where(F.col("size") > jaccard.BLOCK).isEmpty():
+            continue
+        taken = shared.where(F.col("band") < FIRST) if step == 0 else shared if step == 1 else members
+        members = scratch.save(jaccard._open(taken, part, percent), f"open-{step}")
+        some = members if step < 2 or last else members.where(F.col("size") > jaccard.BLOCK)
+        met = (jaccard._met(some) if last else jaccard._dealt(some, step, "component")).join(marks, "id")
+        pairs = scratch.save(jaccard.search(met, percent, not last, _candidates), f"pairs-{step}")
+        found = jaccard.verify(pairs, known, docs, scratch, f"links-{step}", text, key, k, percent)
+        scratch.drop(f"pairs-{step}", *(["shared"] if step == 1 else []), *([f"open-{i}" for i in range(step)]))
+        part = merged(part, found, scratch, f"part-{step}")
     return base, part
 
 
