@@ -4,29 +4,28 @@ from __future__ import annotations
 
 import math
 import tempfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import matrices
+
 
 def _sum_rows(df: DataFrame, partial, rows: int, width: int) -> np.ndarray:
     """Sums over partitions of a small matrix that ``partial(x, y)`` gives for each batch."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((rows, width))
-        for batch in batches:
-            if batch.num_rows:
-                columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-                total += partial(np.column_stack(columns[:-1]), columns[-1])
-        yield pa.RecordBatch.from_pydict({"i": pa.array(range(rows), pa.int32()), "row": pa.array(list(total), pa.list_(pa.float64()))})
+    def flat(columns: list[np.ndarray]) -> list[np.ndarray]:
+        x, y = np.column_stack(columns[:-1]).astype(float), np.asarray(columns[-1], float)
+        if np.isnan(x).any() or np.isnan(y).any():
+            raise ValueError("a feature or the label is missing")
+        return list(partial(x, y))
 
-    sums = df.mapInArrow(run, "i int, row array<double>").groupBy("i").agg(*(F.sum(F.col("row")[j]).alias(f"s{j}") for j in range(width)))
     out = np.zeros((rows, width))
-    for r in sums.collect():
-        out[r["i"]] = list(r)[1:]
+    for r in matrices.summed(df, flat, "<f8").collect():
+        out[r["i"]] = np.frombuffer(r["cells"], "<f8")
     return out
 
 
@@ -56,44 +55,58 @@ def ridge(df: DataFrame, features: Sequence[str], label: str, penalties: Sequenc
 
 
 def newton_logistic(df: DataFrame, features: Sequence[str], label: str, penalty: float = 1e-4, steps: int = 20, tolerance: float = 1e-10) -> np.ndarray:
-    """Damped Newton on the mean logistic loss plus ``penalty`` times the squared norm, labels 0 and 1."""
-    data = _design(df, features, label)
+    """Damped Newton on the mean logistic loss plus ``penalty`` times the squared norm, labels 0 and 1.
+
+    The design is kept in the executors' memory or on their disks (a lost part is made anew); a step is one
+    pass for the derivatives and one, without them, for each size that the line search tries.
+    """
+    data = _design(df, features, label).persist(StorageLevel.MEMORY_AND_DISK)
     d = len(features) + 1
     w = np.zeros(d)
 
-    def derivatives(at: np.ndarray):
+    def loss_at(at: np.ndarray) -> float:
         def run(x: np.ndarray, y: np.ndarray) -> np.ndarray:
             z = x @ at
-            p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-            loss = np.logaddexp(0, z) - y * z
-            return np.vstack([np.column_stack([x.T @ (x * (p * (1 - p))[:, None]), x.T @ (p - y)]), np.append(np.zeros(d - 1), [loss.sum(), len(y)])])
+            return np.array([[(np.logaddexp(0, z) - y * z).sum(), len(y)]])
 
-        s = _sum_rows(data, run, d + 1, d + 1)
-        n = max(1.0, s[d, d])
-        return s[d, d - 1] / n + penalty * at @ at, s[:d, d] / n + 2 * penalty * at, s[:d, :d] / n + 2 * penalty * np.eye(d)
+        total, n = _sum_rows(data, run, 1, 2)[0]
+        return total / max(1.0, n) + penalty * at @ at
 
-    loss, g, h = derivatives(w)
-    for _ in range(steps):
-        step = np.linalg.solve(h + 1e-10 * np.eye(d), g)
-        if g @ step / 2 <= tolerance:
-            break
-        size = 1.0
-        while size > 1e-6:
-            there = derivatives(w - size * step)
-            if there[0] <= loss - 1e-4 * size * (g @ step):
+    def derivatives(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def run(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            p = 1 / (1 + np.exp(-np.clip(x @ at, -500, 500)))
+            return np.column_stack([x.T @ (x * (p * (1 - p))[:, None]), x.T @ (p - y), x.sum(0)])
+
+        s = _sum_rows(data, run, d, d + 2)
+        n = max(1.0, s[0, d + 1])  # the first column is 1
+        return s[:, d] / n + 2 * penalty * at, s[:, :d] / n + 2 * penalty * np.eye(d)
+
+    try:
+        loss = loss_at(w)
+        for _ in range(steps):
+            g, h = derivatives(w)
+            step = np.linalg.solve(h + 1e-10 * np.eye(d), g)
+            if g @ step / 2 <= tolerance:
                 break
-            size /= 2
-        else:
-            break
-        w, (loss, g, h) = w - size * step, there
+            size = 1.0
+            while size > 1e-6 and (there := loss_at(w - size * step)) > loss - 1e-4 * size * (g @ step):
+                size /= 2
+            if size <= 1e-6:
+                break
+            w, loss = w - size * step, there
+    finally:
+        data.unpersist()
     return w
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the cluster's checkpoint folder, which lost executors don't touch; a local folder where none is set."""
+    """``df`` written to the cluster's checkpoint folder, which lost executors don't touch; a local folder only where none is set and all tasks run in this process (tests)."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomwork-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is unset: intermediate tables need a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loomwork-"))
     return df.checkpoint()
 
 
@@ -189,37 +202,3 @@ def score_test(df: DataFrame, features: Sequence[str], candidates: Sequence[str]
     scale = 2 / (9 * k)
     z = (np.cbrt(statistic / k) - (1 - scale)) / math.sqrt(scale)
     return statistic, 0.5 * math.erfc(z / math.sqrt(2))
-
-
-def _drawn(df: DataFrame, features: Sequence[str], label: str, rows: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """At most ``rows`` rows, the first by a hash with the seed, on the driver."""
-    data = _design(df, features, label)
-    found = data.orderBy(F.xxhash64(*data.columns, F.lit(seed))).limit(rows).toPandas().to_numpy(float)
-    return found[:, :-1], found[:, -1]
-
-
-def descent_by_rows(df: DataFrame, features: Sequence[str], label: str, step: float = 0.01, steps: int = 1000, rows: int = 100_000, seed: int = 0) -> np.ndarray:
-    """Descent on half the squared error, a random row a step, of a sample of at most ``rows`` rows."""
-    x, y = _drawn(df, features, label, rows, seed)
-    w = np.zeros(x.shape[1])
-    for i in np.random.default_rng(seed).integers(0, len(y), steps):
-        w -= step * (x[i] @ w - y[i]) * x[i]
-    return w
-
-
-def clipped_newton(
-    df: DataFrame, features: Sequence[str], label: str, penalty: float = 1e-4, step: float = 0.05, steps: int = 300, batch: int = 2048, rows: int = 100_000, seed: int = 0,
-    keep: float = 0.965, keep_curvature: float = 0.99, rho: float = 0.05, every: int = 10, least: float = 1e-12,
-) -> np.ndarray:
-    """Logistic weights by averaged gradients over averaged diagonal curvatures, each coordinate's move clipped, on batches of a sample of at most ``rows`` rows."""
-    x, y = _drawn(df, features, label, rows, seed)
-    rng, w = np.random.default_rng(seed), np.zeros(x.shape[1])
-    mean, curvature = np.zeros_like(w), np.zeros_like(w)
-    for t in range(steps):
-        own = rng.integers(0, len(y), batch) if batch < len(y) else np.arange(len(y))
-        p = 1 / (1 + np.exp(-np.clip(x[own] @ w, -700, 700)))
-        mean = keep * mean + (1 - keep) * (x[own].T @ (p - y[own]) / len(own) + 2 * penalty * w)
-        if t % every == 0:
-            curvature = keep_curvature * curvature + (1 - keep_curvature) * ((p * (1 - p)) @ x[own] ** 2 / len(own) + 2 * penalty)
-        w -= step * np.clip(mean / np.maximum(rho * curvature, least), -1, 1)
-    return w

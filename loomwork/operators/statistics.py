@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import matrices
+
 
 def value_histogram(df: DataFrame, columns: Sequence[str], *by: str) -> DataFrame:
     """(column, value, *by, n): how often each value, NULL included, comes in each column.
@@ -149,19 +152,12 @@ def missing_classes(df: DataFrame, columns: Sequence[str], bounds: Sequence[floa
 def one_per_group(df: DataFrame, columns: Sequence[str], most: float = 0.9) -> list[str]:
     """Of ``columns``, the most important first, those whose missing rows do not correlate by more than ``most`` with those of one kept before.
 
-    One pass counts, for each pair, the rows that miss both; columns that miss all or no rows are kept.
+    One scan counts, for each pair, the rows that miss both; columns that miss all or no rows are kept.
     """
-    masks = [F.col(c).isNull() for c in columns]
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1)]
-    cells = F.array(*(F.when(masks[i] & masks[j], F.lit(k)) for k, (i, j) in enumerate(pairs)))
-    counts = dict(df.select(F.explode(F.array_compact(cells)).alias("cell")).groupBy("cell").count().collect())  # a row for each pair at most
-    n = df.count()
-    both = {p: counts.get(k, 0) / max(n, 1) for k, p in enumerate(pairs)}
+    near = np.abs(matrices.mask_correlation(*matrices.co_missing(df, columns))) > most
     kept: list[int] = []
     for i in range(len(columns)):
-        spread = lambda j: both[j, j] * (1 - both[j, j])
-        near = lambda j: spread(i) > 0 and spread(j) > 0 and abs(both[i, j] - both[i, i] * both[j, j]) > most * (spread(i) * spread(j)) ** 0.5
-        if not any(near(j) for j in kept):
+        if not near[i, kept].any():
             kept.append(i)
     return [columns[i] for i in kept]
 

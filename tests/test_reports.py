@@ -69,18 +69,23 @@ def test_labels(spark):
 
 
 def test_score_test_with_a_penalty(spark):
+    """The statistic is the gain of the best quadratic step in the new weights, all others refitted: numeric derivatives of the penalized likelihood."""
     rng = np.random.default_rng(2)
     x = rng.normal(size=(300, 3))
     y = (rng.random(300) < 1 / (1 + np.exp(-x[:, 0]))).astype(int)
     df = spark.createDataFrame([(*map(float, r), int(t)) for r, t in zip(x, y, strict=True)], "a double, b double, c double, y int")
-    w, penalty = np.array([0.1, 0.8]), 0.05
-    tx, new = np.column_stack([np.ones(300), x[:, 0]]), x[:, 1:]
-    p = 1 / (1 + np.exp(-tx @ w))
-    s = (p * (1 - p))[:, None]
-    hbb, hnb, hnn = (a.T @ (b * s) / 300 for a, b in ((tx, tx), (new, tx), (new, new)))
-    info = hnn + 2 * penalty * np.eye(2) - hnb @ np.linalg.solve(hbb + 2 * penalty * np.eye(2), hnb.T)
-    g = new.T @ (p - y) / 300
-    assert linear.score_test(df, ["a"], ["b", "c"], "y", w, penalty)[0] == pytest.approx(300 * g @ np.linalg.solve(info, g))
+    penalty, start, full = 0.05, linear.newton_logistic(df, ["a"], "y", 0.05), np.column_stack([np.ones(300), x])
+
+    def likelihood(v):
+        z = full @ v
+        return -(np.logaddexp(0, z) - y * z).sum() - 300 * penalty * v @ v
+
+    at, step = np.append(start, [0.0, 0.0]), 1e-3
+    unit = np.eye(4) * step
+    slope = np.array([(likelihood(at + u) - likelihood(at - u)) / (2 * step) for u in unit])
+    bend = np.array([[(likelihood(at + u + v) - likelihood(at + u - v) - likelihood(at - u + v) + likelihood(at - u - v)) / (4 * step**2) for v in unit] for u in unit])
+    gain = -slope @ np.linalg.solve(bend, slope)  # twice the gain of one Newton step, as the fitted weights' slopes are 0
+    assert linear.score_test(df, ["a"], ["b", "c"], "y", start, penalty)[0] == pytest.approx(gain, rel=1e-3)
 
 
 def test_best_rows_leave_out_what_diverged(spark):
