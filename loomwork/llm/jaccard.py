@@ -340,8 +340,8 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def verify(pairs: DataFrame, known: DataFrame, docs: DataFrame, scratch: Scratch, name: str, text: str, key: str, k: int, percent: int) -> DataFrame:
-    """The similar ones of the saved ``pairs``, from the whole texts of their nodes."""
+def token_sets(ids: DataFrame, known: DataFrame, docs: DataFrame, scratch: Scratch, name: str, text: str, key: str, k: int) -> DataFrame:
+    """(id, tokens): the shingle hashes of the nodes in ``ids`` (node), sorted, from their whole texts."""
 
     def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -351,11 +351,16 @@ def verify(pairs: DataFrame, known: DataFrame, docs: DataFrame, scratch: Scratch
                 own = np.flatnonzero(set_ids(found, first)[0] == told[i:j])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(own)), pa.array([found[first[r] : first[r + 1]].tobytes() for r in own], pa.binary())], ["id", "tokens"])
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     needed = ids.join(known, "node").select("node", "id", F.col("rep.key").alias("own"), F.col("rep.told").alias("told"))
     texts = _told(docs, text, key).alias("d").join(needed.alias("w"), F.col("d.key").eqNullSafe(F.col("w.own")) & (F.col("d.told") == F.col("w.told")))
     made = texts.select("w.node", "w.id", "d.text").mapInArrow(tokens_of, "id long, tokens binary")
-    sets = scratch.save(made.groupBy("id").agg(F.first("tokens").alias("tokens")), f"{name}-sets")  # rows may repeat
+    return scratch.save(made.groupBy("id").agg(F.first("tokens").alias("tokens")), name)  # rows may repeat
+
+
+def verify(pairs: DataFrame, known: DataFrame, docs: DataFrame, scratch: Scratch, name: str, text: str, key: str, k: int, percent: int) -> DataFrame:
+    """The similar ones of the saved ``pairs``, from the whole texts of their nodes."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = token_sets(ids, known, docs, scratch, f"{name}-sets", text, key, k)
     found = scratch.save(_similar(pairs, sets, percent), name)
     scratch.drop(f"{name}-sets")
     return found

@@ -138,7 +138,27 @@ def _candidates(group: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray,
             same.append(agree[near])
     if not a:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    return np.concatenate(a), np.concatenate(b), np.concatenate(same)
+    one, two, agree = np.concatenate(a), np.concatenate(b), np.concatenate(same)
+    if "tokens" in group.column_names and len(one):
+        held = [np.frombuffer(t.as_buffer(), np.uint32) for t in group.column("tokens")]
+        keep = np.zeros(len(one), bool)
+        for k, (i, j) in enumerate(zip(one.tolist(), two.tolist(), strict=True)):
+            both = np.concatenate([held[i], held[j]])
+            both.sort(kind="stable")  # merges two sorted runs
+            common = int((both[1:] == both[:-1]).sum())
+            keep[k] = 100 * common >= percent * (len(both) - common)
+        one, two, agree = one[keep], two[keep], agree[keep]
+    return one, two, agree
+
+
+def _low(sets: DataFrame) -> DataFrame:
+    """(id, tokens) with 32 bits of each shingle's hash, sorted; equal ones within a set only raise a similarity, which is confirmed afterwards."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.sort(np.frombuffer(t.as_buffer(), np.uint64).astype(np.uint32)).tobytes() for t in batch.column(1)], pa.binary())], ["id", "tokens"])
+
+    return sets.mapInArrow(run, "id long, tokens binary")
 
 
 def link(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = WORDS, percent: int = PERCENT, places: int = PLACES, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
@@ -164,6 +184,9 @@ def link(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = WORD
         members = scratch.save(jaccard._open(taken, part, percent), f"open-{step}")
         some = members if step < 2 or last else members.where(F.col("size") > jaccard.BLOCK)
         met = (jaccard._met(some) if last else jaccard._dealt(some, step, "component")).join(marks, "id")
+        if last:  # without a forest all pairs count, so only those whose sets are similar leave the task
+            sets = jaccard.token_sets(some.select(F.col("id").alias("node")).distinct(), known, docs, scratch, "sets", text, key, k)
+            met = met.join(_low(sets), "id")
         pairs = scratch.save(jaccard.search(met, percent, not last, _candidates), f"pairs-{step}")
         found = jaccard.verify(pairs, known, docs, scratch, f"links-{step}", text, key, k, percent)
         scratch.drop(f"pairs-{step}", *(["shared"] if step == 1 else []), *([f"open-{i}" for i in range(step)]))
