@@ -74,10 +74,10 @@ class Pair:
     def cuts(self, data: np.ndarray) -> np.ndarray:
         """Places of a text at which segments begin, but for its start."""
         places = np.flatnonzero((data == _SPLIT[0]) | (data == _SPLIT[1]))
-        places = places[places >= 3]
+        places = places[places >= 1]
         places = places[self.open[data[places - 1], data[places]]]
         far = data[places - 1] >= 0x80
-        before = [data[places[far] - k].astype(np.int64) for k in (1, 2, 3)]
+        before = [data[np.maximum(places[far] - k, 0)].astype(np.int64) for k in (1, 2, 3)]
         last2, last3 = before[0] | before[1] << 8, before[0] | before[1] << 8 | before[2] << 16
         keep = np.ones(len(places), bool)
         keep[far] = ~(np.isin(last2, [int.from_bytes(w, "big") for w in _WIDE if len(w) == 2]) | np.isin(last3, [int.from_bytes(w, "big") for w in _WIDE if len(w) == 3]))
