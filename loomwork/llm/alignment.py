@@ -31,7 +31,7 @@ from .packing import _BYTES
 from .scratch import Scratch
 
 #: Bytes of text in a slice; a longer text is a slice of its own.
-SLICE = 32 << 20
+SLICE = 16 << 20
 MARK = "▁"
 _SPLIT = b" \n"
 #: White space outside ASCII, in UTF-8.
@@ -158,7 +158,7 @@ def slices(docs: DataFrame, paths: tuple[str, str], key: str, text: str) -> Data
         spots = [_planes(place[a:b]) for a, b in pairwise(first.tolist())]
         n, m = len(segments.dictionary), len(spots)
         return pa.RecordBatch.from_arrays([
-            pa.array([(part << 33) + number] * (n + m), pa.int64()), pa.array([*range(n), *[None] * m], pa.int32()), pa.concat_arrays([segments.dictionary.cast(pa.binary()).cast(pa.string()), pa.nulls(m, pa.string())]),
+            pa.array(np.full(n + m, (part << 33) + number)), pa.concat_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.nulls(m, pa.int32())]), pa.concat_arrays([segments.dictionary.cast(pa.binary()).cast(pa.string()), pa.nulls(m, pa.string())]),
             pa.concat_arrays([pa.array(np.bincount(place, minlength=n), pa.int64()), pa.nulls(m, pa.int64())]), pa.concat_arrays([pa.nulls(n, keys.type), keys]), pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(spots, pa.binary())]),
         ], ["slice", "place", "segment", "n", "key", "spots"])
 
@@ -268,7 +268,8 @@ def documents_and_pairs(docs: DataFrame, text: str = "text", key: str = "doc_id"
     whole = known.drop("links").join(scores, "segment", "left").fillna(0, ["n_best", "count_sum"])
     whole = scratch.save(whole, "scored", "zstd")
     scratch.drop("aligned")
-    back = lists.select("slice", "place", "segment").join(whole, "segment").drop("segment")
+    back = scratch.save(lists.select("slice", "place", "segment").join(whole, "segment").drop("segment"), "back", "zstd")
+    scratch.drop("scored")
     found = back.groupBy("slice").cogroup(documents.groupBy("own")).applyInArrow(_composed, f"key {kind}, " + ", ".join(f"{c} long" for c in COUNTS) + ", groups_sha256 string")
     ids = pairs.join(best, "b").select(F.shiftright("pair", 32).cast("int").alias("a"), F.col("b").cast("int"), "count", (F.col("count") == F.col("most")).alias("best"))
     return found.withColumnRenamed("key", key), ids
