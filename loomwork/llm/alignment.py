@@ -32,6 +32,8 @@ from .scratch import Scratch
 
 #: Bytes of text in a slice; a longer text is a slice of its own.
 SLICE = 16 << 20
+#: Rows that are dealt to slices together.
+BLOB_ROWS = 1 << 18
 MARK = "▁"
 _SPLIT = b" \n"
 #: White space outside ASCII, in UTF-8.
@@ -224,8 +226,38 @@ def _without(lists: pa.Table, documents: pa.Table) -> pa.Table:
 COUNTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
-def _composed(lists: pa.Table, documents: pa.Table) -> pa.Table:
+def _blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(slice, blob): rows of a slice that a task has at hand, as one compressed Arrow stream."""
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+
+    def out(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks().sort_by("slice")
+        where = rows.column("slice").to_numpy()
+        cuts = np.concatenate([[0], np.flatnonzero(where[1:] != where[:-1]) + 1, [len(where)]]).tolist()
+        blobs = []
+        for x, y in pairwise(cuts):
+            sink = pa.BufferOutputStream()
+            own = rows.slice(x, y - x).drop_columns(["slice"])
+            with pa.ipc.new_stream(sink, own.schema, options=options) as stream:
+                stream.write_table(own)
+            blobs.append(sink.getvalue().to_pybytes())
+        return pa.RecordBatch.from_arrays([pa.array(where[cuts[:-1]]), pa.array(blobs, pa.binary())], ["slice", "blob"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            if sum(h.num_rows for h in held) >= BLOB_ROWS:
+                yield out(held)
+                held = []
+    if held:
+        yield out(held)
+
+
+def _composed(blobs: pa.Table, documents: pa.Table) -> pa.Table:
     """(key, counts, groups_sha256) of a slice's documents."""
+    found = [pa.ipc.open_stream(b.as_buffer()).read_all() for b in blobs.column("blob")]
+    lists = pa.concat_tables(found).combine_chunks() if found else pa.table({c: pa.array([], pa.int64()) for c in ("place", *COUNTS)} | {"good": pa.array([], pa.bool_()), "groups": pa.array([], pa.string())})
     place = lists.column("place").to_numpy()
     order = np.argsort(place)
     good = lists.column("good").to_numpy(zero_copy_only=False)[order]
@@ -268,7 +300,7 @@ def documents_and_pairs(docs: DataFrame, text: str = "text", key: str = "doc_id"
     whole = known.drop("links").join(scores, "segment", "left").fillna(0, ["n_best", "count_sum"])
     whole = scratch.save(whole, "scored", "zstd")
     scratch.drop("aligned")
-    back = scratch.save(lists.select("slice", "place", "segment").join(whole, "segment").drop("segment"), "back", "zstd")
+    back = scratch.save(lists.select("slice", "place", "segment").join(whole, "segment").drop("segment").mapInArrow(_blobs, "slice long, blob binary"), "back")
     scratch.drop("scored")
     found = back.groupBy("slice").cogroup(documents.groupBy("own")).applyInArrow(_composed, f"key {kind}, " + ", ".join(f"{c} long" for c in COUNTS) + ", groups_sha256 string")
     ids = pairs.join(best, "b").select(F.shiftright("pair", 32).cast("int").alias("a"), F.col("b").cast("int"), "count", (F.col("count") == F.col("most")).alias("best"))
