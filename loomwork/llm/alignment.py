@@ -281,7 +281,7 @@ def documents_and_pairs(docs: DataFrame, text: str = "text", key: str = "doc_id"
     made = scratch.save(slices(docs, paths, key, text), "slices", "zstd")
     lists, documents = made.where("place is not null").select("slice", "place", "segment", "n"), made.where("place is null").select(F.col("slice").alias("own"), "key", "spots")
     distinct = lists.groupBy("segment").agg(F.sum("n").alias("n"))
-    known = scratch.save(aligned(distinct.select("segment"), paths), "aligned", "zstd")
+    known = scratch.save(aligned(distinct.select("segment"), paths).withColumn("id", F.monotonically_increasing_id()), "aligned", "zstd")
     bad = known.where("not good")
     if bad.isEmpty():
         counts = distinct
@@ -295,9 +295,9 @@ def documents_and_pairs(docs: DataFrame, text: str = "text", key: str = "doc_id"
     pairs = scratch.save(pairs, "pairs")
     best = pairs.groupBy("b").agg(F.max("count").alias("most"))
     rated = pairs.join(best, "b").select("pair", "count", (F.col("count") == F.col("most")).cast("long").alias("best"))
-    spread = known.where("n_links > 0").select("segment", F.explode("links").alias("pair")).groupBy("segment", "pair").agg(F.count("*").alias("times"))
-    scores = spread.join(rated, "pair").groupBy("segment").agg(F.sum(F.col("times") * F.col("best")).alias("n_best"), F.sum(F.col("times") * F.col("count")).alias("count_sum"))
-    whole = known.drop("links").join(scores, "segment", "left").fillna(0, ["n_best", "count_sum"])
+    spread = known.where("n_links > 0").select("id", F.explode("links").alias("pair"))
+    scores = spread.join(rated, "pair").groupBy("id").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
+    whole = known.drop("links").join(scores, "id", "left").drop("id").fillna(0, ["n_best", "count_sum"])
     whole = scratch.save(whole, "scored", "zstd")
     scratch.drop("aligned")
     back = scratch.save(lists.select("slice", "place", "segment").join(whole, "segment").drop("segment").mapInArrow(_blobs, "slice long, blob binary"), "back")
