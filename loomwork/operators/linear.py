@@ -4,29 +4,32 @@ from __future__ import annotations
 
 import math
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import matrices
-
 
 def _sum_rows(df: DataFrame, partial, rows: int, width: int) -> np.ndarray:
-    """Sums over partitions of a small matrix that ``partial(x, y)`` gives for each batch."""
-
-    def flat(columns: list[np.ndarray]) -> list[np.ndarray]:
-        x, y = np.column_stack(columns[:-1]).astype(float), np.asarray(columns[-1], float)
-        if np.isnan(x).any() or np.isnan(y).any():
-            raise ValueError("a feature or the label is missing")
-        return list(partial(x, y))
-
-    out = np.zeros((rows, width))
-    for r in matrices.summed(df, flat, "<f8").collect():
-        out[r["i"]] = np.frombuffer(r["cells"], "<f8")
-    return out
+    """Sums over partitions of a small matrix that ``partial(x, y)`` gives for each batch, a row for each cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((rows, width))
+        for batch in batches:
+            if batch.num_rows:
+                columns = [c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]
+                if any(np.isnan(c).any() for c in columns):
+                    raise ValueError("a feature or the label is missing")
+                total += partial(np.column_stack(columns[:-1]), columns[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(rows * width, dtype=np.int32)), pa.array(total.ravel())], ["cell", "value"])
+
+    out = np.zeros(rows * width)
+    for r in df.mapInArrow(run, "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).collect():
+        out[r["cell"]] = r["value"]
+    return out.reshape(rows, width)
 
 
 def _design(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
