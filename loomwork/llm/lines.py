@@ -126,9 +126,9 @@ def _open(members: DataFrame, part: DataFrame | None, step: int) -> DataFrame:
         labelled = members.join(part, "id", "left").withColumn("component", F.coalesce("component", "id"))
     drawn = F.when(F.col("indexed"), F.xxhash64("id", F.lit(step)))
     hub = [F.min_by(c, drawn).alias(n) for c, n in (("id", "hub"), ("component", "theirs"), ("letters", "other"))]
-    who = [F.sum(F.xxhash64("id", "indexed", F.lit(i)).bitwiseAND(F.lit((1 << 40) - 1))).alias(f"who{i}") for i in (0, 1, 2)]
+    who = [F.bit_xor(F.xxhash64("id", "indexed", F.lit(i))).alias(f"who{i}") for i in (0, 1)]
     mixed = labelled.groupBy("k").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), *who, F.count("*").alias("many"), F.first("weight").alias("weight"), *hub)
-    same = ["who0", "who1", "who2", "many"]
+    same = ["who0", "who1", "many"]
     mixed = mixed.where("c0 <> c1").groupBy(*same).agg(F.min("k").alias("k"), F.sum("weight").alias("weight"), *(F.min(c).alias(c) for c in ("hub", "theirs", "other")))
     return labelled.drop("weight").join(mixed.drop(*same), "k")
 

@@ -109,17 +109,20 @@ def _matrix(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return column.flatten().to_numpy().reshape(len(column), N_FEATURES)
 
 
-def feature_table(docs: DataFrame, text: str, key: str) -> DataFrame:
+def feature_table(docs: DataFrame, text: str, key: str, told: str | None = None) -> DataFrame:
+    """(key, x), and with ``told`` a column of that name with the text's SHA-256 in hex, a null text's being that of an empty one."""
     kind = dict(docs.select(key).dtypes)[key]
+    more = [F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias(told)] if told else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in T.slices(batch.column(1)):
                 x = statistics(data, offsets)
                 rows = pa.ListArray.from_arrays(np.arange(0, x.size + 1, N_FEATURES, dtype=np.int32), x.ravel())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), rows], [key, "x"])
+                rest = [c.slice(i, j - i) for c in batch.columns[2:]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), rows, *rest], [key, "x", *([told] if told else [])])
 
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, x array<double>")
+    return docs.select(F.col(key), F.col(text), *more).mapInArrow(run, f"`{key}` {kind}, x array<double>" + (f", `{told}` string" if told else ""))
 
 
 class Classifier:
@@ -202,9 +205,10 @@ def fit(features: DataFrame, labels: DataFrame, key: str = "doc_id", label: str
     return Classifier(centre, spread, solve(whole), (place, fitted), n, seed)
 
 
-def classify(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
-    """(key, held_out, score, predicted) of each document."""
-    features = Scratch(docs.sparkSession, "quality").save(feature_table(docs, text, key), "features")
+def classify(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", threshold: float = THRESHOLD, told: str | None = None) -> DataFrame:
+    """(key, held_out, score, predicted) of each document; ``told`` names one more column, the text's SHA-256, which tells rows of one key apart."""
+    features = Scratch(docs.sparkSession, "quality").save(feature_table(docs, text, key, told), "features")
+    more = [told] if told else []
     model = fit(features, labels, key, label)
     kind = dict(features.select(key).dtypes)[key]
 
@@ -212,7 +216,8 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
         for batch in batches:
             x = _matrix(batch, "x")
             score = np.concatenate([model.score(x[a : a + 4096]) for a in range(0, len(x), 4096)]) if model and len(x) else np.full(len(x), 0.5)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], [key, "score"])
+            rest = [batch.column(batch.schema.get_field_index(c)) for c in more]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), *rest], [key, "score", *more])
 
-    scored = features.mapInArrow(run, f"`{key}` {kind}, score double")
-    return scored.select(key, F.coalesce(F.crc32(F.col(key).cast("string")) % 5 == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = features.mapInArrow(run, f"`{key}` {kind}, score double" + "".join(f", `{c}` string" for c in more))
+    return scored.select(key, F.coalesce(F.crc32(F.col(key).cast("string")) % 5 == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *more)

@@ -272,7 +272,7 @@ def test_pipeline(spark):
         docs = scratch.save(stage(spark, docs, sf), f"stage-{k}")
         counts.append(docs.count())
         assert k == 4 or docs.columns == columns
-    assert counts[0] >= counts[1] >= counts[2] > counts[3] > 100 and counts[4] <= 2 * counts[3]
+    assert counts[0] >= counts[1] >= counts[2] >= counts[3] > 100 and counts[4] <= 2 * counts[3]
     assert docs.select("sequence_id", "offset").distinct().count() == counts[5]
 
 
