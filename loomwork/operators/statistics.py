@@ -8,21 +8,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import matrices
-
-
-def value_histogram(df: DataFrame, columns: Sequence[str], *by: str) -> DataFrame:
-    """(column, value, *by, n): how often each value, NULL included, comes in each column.
-
-    Most statistics of coded columns follow from this table without another scan.
-    """
-    pairs = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns))
-    return df.select(*by, F.explode(pairs).alias("p")).groupBy("p.column", "p.value", *by).agg(F.count("*").alias("n"))
+from . import distributions, matrices
+from .distributions import value_histogram  # noqa: F401
 
 
 def medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row with each column's exact median, 0 where nothing is known."""
-    return df.agg(*(F.coalesce(F.median(c), F.lit(0.0)).alias(c) for c in columns))
+    found = distributions.medians(distributions.counted(df, columns))
+    return found.agg(*(F.coalesce(F.max(F.when(F.col("column") == c, F.col("median"))), F.lit(0.0)).alias(c) for c in columns))
 
 
 def modes(histogram: DataFrame) -> DataFrame:
