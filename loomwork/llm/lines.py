@@ -172,7 +172,9 @@ def line_links(lines: DataFrame, scratch: Scratch, edits: int = EDITS, hot: int
         rest = scratch.save(rest.withColumn("length", F.char_length("line")).withColumn("keys", segment_keys(F.col("line"), F.col("length"), edits)), f"rest-{level}")
         finer = rest.select("id", "probe", "line", "length", F.col("k").alias("outer"), F.posexplode("keys").alias("pos", "k")).where("k is not null")
         finer = finer.withColumn("k", F.xxhash64("outer", "k"))
-        members = scratch.save(finer.join(_shared(finer, edits).hint("shuffle_hash"), "k").select("k", "many", "id", "pos", "line", "length"), f"shared-{level}")
+        key = Window.partitionBy("k")  # the rows of a key are counted where they meet: one exchange, and no second pass that joins counts
+        finer = finer.withColumns({"lo": F.min("id").over(key), "hi": F.max("id").over(key), "own": F.min("pos").over(key), "many": F.count("*").over(key)})
+        members = scratch.save(finer.where(f"lo <> hi and own <= {edits}").select("k", "many", "id", "pos", "line", "length"), f"shared-{level}")
     ready.append(members)
     members = ready[0].select("k", "many", "id", "pos")
     for more in ready[1:]:
