@@ -143,13 +143,13 @@ def test_final_and_averaged_models(spark, tmp_path):
     types = {"a": "continuous", "b": "continuous"}
     newton = jobs.Setting("reg_logistic_newton", types, {"curves": ["sqrt"]}, {"penalty": 1e-3, "steps": 10})
     trees = jobs.Setting("gradient_boosting", types, {}, {"n_trees": 3, "min_rows": 20})
-    figures, made = jobs.final(df, test, "y", "id", newton, F.col("b") > 1.5, k=2)
+    figures, made = jobs.final(df, test, "y", "id", newton, F.col("b") < -1, k=2)
     results.save_result(spark, f"{tmp_path}/r.json", figures)
     assert results.load_result(spark, f"{tmp_path}/r.json") == figures
-    known = {r.id for r in df.where("b > 1.5").collect()}
+    known = {r.id for r in df.where("b < -1").collect()}
     rows = made.collect()
     assert len(rows) == 123 and all(r.predicted == (1 if r.score >= figures["threshold_oof"] or r.key in known else -1) for r in rows)
-    assert any(r.score < figures["threshold_oof"] and r.key in known for r in rows) and figures["n_features_final"] == 4 and len(figures["f1"]) == 2
+    assert any(r.score < figures["threshold_oof"] and r.key in known for r in rows) and figures["n_features_final"] == 5 and len(figures["f1"]) == 2
     one, two = (dict(jobs.component(df, "y", "id", s).scored(test.select("id", "a", "b")).select("id", "score").collect()) for s in (newton, trees))
     both = jobs.averaged(df, test, "y", "id", newton, trees, 0.25, 0.4).collect()
     assert len(both) == 123

@@ -28,6 +28,48 @@ def test_best_split():
     assert trees.best_split(sums, 0.0, 150, [0, 1]) is None
 
 
+def test_a_level_against_all_cuts(spark):
+    rng = np.random.default_rng(5)
+    n, reg, least = 700, 1.5, 40
+    x = np.column_stack([rng.integers(0, 9, n), rng.normal(0, 1, n).round(2), np.where(rng.random(n) < 0.2, np.nan, rng.integers(0, 4, n))])
+    y = (rng.random(n) < 1 / (1 + np.exp(-(x[:, 0] - 4) * np.where(x[:, 1] > 0.3, 1, -0.5)))).astype(float)
+    df = spark.createDataFrame([(i, *(None if np.isnan(v) else float(v) for v in x[i]), float(y[i])) for i in range(n)], "id long, a double, b double, c double, y double")
+    edges = trees.bin_edges(df, ["a", "b", "c"], "id", 16)
+    for f in range(3):
+        v = x[~np.isnan(x[:, f]), f]
+        q = np.quantile(v, np.arange(16) / 16)
+        assert edges[f] == pytest.approx(np.unique(q[q > q[0]]))
+    model = trees.gradient_boosting(df, ["a", "b", "c"], "y", "id", n_trees=1, rate=1.0, depth=2, min_rows=least, reg=reg, subsample=1.0, colsample=1.0, n_bins=16)
+    tree, p = model.trees[0], y.mean()
+    bins = np.column_stack([sum((np.where(np.isnan(x[:, f]), np.inf, x[:, f]) >= e).astype(int) for e in edges[f]) for f in range(3)])
+    g, h = y - p, np.full(n, p * (1 - p))
+
+    def part(rows):
+        return g[rows].sum() ** 2 / (h[rows].sum() + reg)
+
+    def check(node, rows, depth):
+        assert tree.value[node] == pytest.approx(g[rows].sum() / (h[rows].sum() + reg))
+        found = []
+        for f in range(3):
+            for cut in range(16):
+                left, right = rows[bins[rows, f] <= cut], rows[bins[rows, f] > cut]
+                if len(left) >= least and len(right) >= least:
+                    found.append((part(left) + part(right) - part(rows), f, cut))
+        gain = max(found, default=(0,))[0]
+        if depth == 2 or gain <= 1e-12:
+            assert tree.feature[node] == -1
+            return
+        f, cut = tree.feature[node], tree.cut[node]
+        assert next(v for v, *at in found if at == [f, cut]) == pytest.approx(gain)
+        check(tree.left[node], rows[bins[rows, f] <= cut], depth + 1)
+        check(tree.right[node], rows[bins[rows, f] > cut], depth + 1)
+
+    check(0, np.arange(n), 0)
+    for wrong in (1, 257):
+        with pytest.raises(ValueError):
+            trees.gradient_boosting(df, ["a"], "y", "id", n_trees=1, n_bins=wrong)
+
+
 def test_trees_learn_what_lines_cannot(xor):
     boosted = trees.gradient_boosting(xor, ["a", "b", "c"], "y", "id", n_trees=12, rate=0.5, depth=3, min_rows=20, colsample=1.0)
     assert accuracy(xor, boosted.probability()) > 0.9
