@@ -366,24 +366,51 @@ def verify(pairs: DataFrame, known: DataFrame, docs: DataFrame, scratch: Scratch
     return found
 
 
-def _open(members: DataFrame, part: DataFrame | None, percent: int) -> DataFrame:
-    """Members of the buckets that hold more than one component, each with its component and the bucket's size.
+def _open(members: DataFrame, part: DataFrame | None, percent: int, scratch: Scratch, name: str, *done: str) -> DataFrame:
+    """Members of the buckets that hold more than one component, each with its component and the bucket's size; saved.
 
     ``members``: (token, id, n, rest); of the buckets of the same nodes the one of the
     first shingle is left, and buckets of two nodes only where their sizes and places
-    let them be similar.
+    let them be similar. ``done``: tables that are dropped once members have their components.
     """
     members = members.select("token", "id", "n", "rest")
     if part is None:
         labelled = members.withColumn("component", F.col("id"))
-    else:
+    else:  # read twice, so labels are written, and joined once
         labelled = members.join(part, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        labelled = scratch.save(labelled, f"{name}-labels")
+        scratch.drop(*done)
     who = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"who{i}") for i in (0, 1)]
     mixed = labelled.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), *who, F.count("*").alias("size"), F.sum("rest").alias("rests"), F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("rest").alias("r0"))
     two = (100 * F.col("n0") >= percent * F.col("n1")) & ((100 + percent) * F.col("r0") >= percent * (F.col("n0") + F.col("n1")))
     mixed = mixed.where(F.col("c0") != F.col("c1")).where((F.col("size") > 2) | two)
     mixed = mixed.groupBy("who0", "who1", "size").agg(F.max_by("token", "rests").alias("token")).select("token", "size")
-    return labelled.join(mixed, "token").select("token", "size", "id", "n", "rest", "component")
+    found = scratch.save(labelled.join(mixed, "token").select("token", "size", "id", "n", "rest", "component"), name)
+    scratch.drop(f"{name}-labels", *done)
+    return found
+
+
+class Members:
+    """Members of the open buckets from step to step: those of one block wait for the last step, larger ones are labelled at each."""
+
+    def __init__(self, scratch: Scratch, percent: int):
+        self.scratch, self.percent = scratch, percent
+
+    def first(self, members: DataFrame, part: DataFrame | None, *done: str) -> DataFrame:
+        """Those of all buckets."""
+        found = _open(members, part, self.percent, self.scratch, "open", *done)
+        self.small, self.large = found.where(F.col("size") <= BLOCK), found.where(F.col("size") > BLOCK)
+        return found
+
+    def larger(self, part: DataFrame, step: int) -> DataFrame | None:
+        """Those of the buckets of several blocks, if there are any."""
+        if self.large.isEmpty():
+            return None
+        self.large = _open(self.large, part, self.percent, self.scratch, f"open-{step}", f"open-{step - 1}")
+        return self.large
+
+    def last(self, part: DataFrame) -> DataFrame:
+        return _open(self.small.union(self.large), part, self.percent, self.scratch, "open-last", "open", *(f"open-{step}" for step in range(1, FORESTS)))
 
 
 def _dealt(members: DataFrame, step: int, near: str) -> DataFrame:
@@ -430,15 +457,12 @@ def link(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = WORD
     marks = own.select("id", "least", "signature")
     tokens = own.select("id", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "id", "n", (F.col("n") - F.col("pos")).alias("rest"))
     buckets = tokens.groupBy("token").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("token")
-    members = scratch.save(tokens.join(buckets, "token"), "shared")
-    part, before = None, "shared"
+    shared = scratch.save(tokens.join(buckets, "token"), "shared")
+    part, members = None, Members(scratch, percent)
     for step in range(FORESTS + 1):
         last = step == FORESTS
-        if not 0 < step < FORESTS or not members.where(F.col("size") > BLOCK).isEmpty():
-            members = scratch.save(_open(members, part, percent), f"open-{step}")
-            scratch.drop(before)
-            before = f"open-{step}"
-            some = members if step == 0 or last else members.where(F.col("size") > BLOCK)
+        some = members.first(shared, part, "shared") if step == 0 else members.last(part) if last else members.larger(part, step)
+        if some is not None:
             met = (_met(some) if last else _dealt(some, step, "component")).join(marks, "id")
             if step == 0:
                 met = met.withColumn("near", F.col("least"))

@@ -175,21 +175,24 @@ def link(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = WORD
     spread = own.select("id", "n", F.posexplode("bands").alias("band", "token")).withColumn("rest", F.col("n"))
     shared = spread.groupBy("token").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("token")
     shared = scratch.save(spread.join(shared, "token"), "shared")
-    part, members = None, shared
+    part, members = None, jaccard.Members(scratch, percent)
     for step in range(FORESTS + 1):
         last = step == FORESTS
-        if 1 < step < FORESTS and members.where(F.col("size") > jaccard.BLOCK).isEmpty():
+        if step == 0:
+            some = jaccard._open(shared.where(F.col("band") < FIRST), part, percent, scratch, "open-first")
+        else:
+            some = members.first(shared, part, "shared") if step == 1 else members.last(part) if last else members.larger(part, step)
+        if some is None:
             continue
-        taken = shared.where(F.col("band") < FIRST) if step == 0 else shared if step == 1 else members
-        members = scratch.save(jaccard._open(taken, part, percent), f"open-{step}")
-        some = members if step < 2 or last else members.where(F.col("size") > jaccard.BLOCK)
-        met = (jaccard._met(some) if last else jaccard._dealt(some, step, "component")).join(marks, "id")
+        held = marks
         if last:  # without a forest all pairs count, so only those whose sets are similar leave the task
             sets = jaccard.token_sets(some.select(F.col("id").alias("node")).distinct(), known, docs, scratch, "sets", text, key, k)
-            met = met.join(_low(sets), "id")
+            held = scratch.save(marks.join(_low(sets), "id"), "held")  # a row a node, so that members are joined once
+            scratch.drop("sets")
+        met = (jaccard._met(some) if last else jaccard._dealt(some, step, "component")).join(held, "id")
         pairs = scratch.save(jaccard.search(met, percent, not last, _candidates), f"pairs-{step}")
         found = jaccard.verify(pairs, known, docs, scratch, f"links-{step}", text, key, k, percent)
-        scratch.drop(f"pairs-{step}", *(["shared"] if step == 1 else []), *([f"open-{i}" for i in range(step)]))
+        scratch.drop(f"pairs-{step}", *(["open-first"] if step == 0 else ["held", "open-last"] if last else []))
         part = merged(part, found, scratch, f"part-{step}")
     return base, part
 

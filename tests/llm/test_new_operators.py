@@ -231,3 +231,30 @@ def test_cuts_stay_where_no_token_reaches_over():
 
 def test_queries_are_registered():
     assert {"op11_superminhash", "op12_alignment", "op13_collocations"} <= set(queries.QUERIES) and set(queries.ORACLE_SQL) == {"op13_collocations"}
+
+
+@pytest.mark.parametrize("name", ["jaccard", "superminhash", "lines"])
+def test_members_are_labelled_once_a_step(spark, monkeypatch, name):
+    from loomwork.llm import lines
+    from loomwork.llm.scratch import Scratch
+
+    rng = np.random.default_rng(81)
+    base = rng.integers(0, 10**6, 60).tolist()
+    rows = [(i, " ".join(f"w{w}" for w in base[:j] + [10**7 + i] + base[j + 1 :])) for i, j in enumerate(rng.integers(0, 60, 40).tolist())]
+    seen, save = {}, Scratch.save
+
+    def counted(self, df, table, *args):
+        seen[table] = df._jdf.queryExecution().optimizedPlan().toString().count("LeftOuter")
+        return save(self, df, table, *args)
+
+    monkeypatch.setattr(Scratch, "save", counted)
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    if name == "lines":
+        assert lines.deduplicated(docs, hot=4).agg(F.sum("__removed")).first()[0] >= 0
+    else:
+        found = {"jaccard": jaccard.join, "superminhash": superminhash.near_duplicates}[name](docs)
+        assert {r.component_id for r in found.collect()} == {0}
+    opened = {t: n for t, n in seen.items() if t.startswith(("open", "labels"))}
+    assert sum("labels" in t for t in opened) >= 1 and max(opened.values()) == 1
+    assert all(n == 0 for t, n in opened.items() if "labels" not in t)
