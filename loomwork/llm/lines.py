@@ -113,8 +113,8 @@ def _possible(members: DataFrame, edits: int, hot: int) -> DataFrame:
     return few.join(other, may_link, "left_semi").union(members.where(F.col("many") > hot))
 
 
-def _open(members: DataFrame, part: DataFrame | None, step: int) -> DataFrame:
-    """Members of the keys whose lines are in more than one component, each with the key's weight and hub.
+def _open(members: DataFrame, part: DataFrame | None, step: int, scratch: Scratch, before: str | None) -> DataFrame:
+    """Members of the keys whose lines are in more than one component, each with the key's weight and hub; saved, and ``before`` dropped.
 
     ``members``: (k, weight, id, indexed, letters); keys of the same lines become one of their
     summed weight. The hub is the indexed line of the least hash, another one at each step.
@@ -122,15 +122,19 @@ def _open(members: DataFrame, part: DataFrame | None, step: int) -> DataFrame:
     members = members.select("k", "weight", "id", "indexed", "letters")
     if part is None:
         labelled = members.withColumn("component", F.col("id"))
-    else:
+    else:  # read twice, so labels are written, and joined once
         labelled = members.join(part, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        labelled = scratch.save(labelled, f"labels-{step}")
+        scratch.drop(*[before] if before else [])
     drawn = F.when(F.col("indexed"), F.xxhash64("id", F.lit(step)))
     hub = [F.min_by(c, drawn).alias(n) for c, n in (("id", "hub"), ("component", "theirs"), ("letters", "other"))]
     who = [F.bit_xor(F.xxhash64("id", "indexed", F.lit(i))).alias(f"who{i}") for i in (0, 1)]
     mixed = labelled.groupBy("k").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), *who, F.count("*").alias("many"), F.first("weight").alias("weight"), *hub)
     same = ["who0", "who1", "many"]
     mixed = mixed.where("c0 <> c1").groupBy(*same).agg(F.min("k").alias("k"), F.sum("weight").alias("weight"), *(F.min(c).alias(c) for c in ("hub", "theirs", "other")))
-    return labelled.drop("weight").join(mixed.drop(*same), "k")
+    found = scratch.save(labelled.drop("weight").join(mixed.drop(*same), "k"), f"open-{step}")
+    scratch.drop(f"labels-{step}")
+    return found
 
 
 def _voted(members: DataFrame, edits: int) -> DataFrame:
@@ -181,9 +185,7 @@ def line_links(lines: DataFrame, scratch: Scratch, edits: int = EDITS, hot: int
     members = scratch.save(_possible(scratch.save(members, "members"), edits, hot), "possible").withColumn("weight", F.lit(1).cast("long"))
     part, before = None, None
     for step in range(ROUNDS + 1):
-        members = scratch.save(_open(members, part, step), f"open-{step}")
-        if before:
-            scratch.drop(before)
+        members = _open(members, part, step, scratch, before)
         before = f"open-{step}"
         pairs = _voted(members, edits) if step < ROUNDS else _met(members, edits)
         found = scratch.save(_verified(pairs, near, edits), f"links-{step}")
