@@ -492,3 +492,15 @@ def test_passages_cover_every_earlier_window(spark):
         own = [tuple(words[i : i + 50]) for i in range(len(words) - 49)]
         assert all(w not in seen or any(s <= i and i + 50 <= e for s, e in spans[key]) for i, w in enumerate(own))
         seen |= set(own)
+
+
+def test_passages_whose_seeds_come_first_and_nearest_in_fragments(spark):
+    rng = np.random.default_rng(91)
+    words = lambda n: [f"w{w}" for w in rng.integers(0, 10**7, n)]
+    shared = words(80)
+    part = lambda a: words(30) + shared[a : a + 24] + words(30)
+    # the passage is whole in 8 and 17; every seed of it is in parts of 24 words before 8 and after
+    texts = [part(a) for a in range(0, 64, 8)] + [words(25) + shared + words(25)] + [part(a) for a in range(0, 64, 8)] + [words(15) + shared + words(35)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {(r.doc_id, r.match_doc_id, r.start_word, r.end_word) for r in passages.passages(docs).collect()}
+    assert got == {(17, 8, 15, 95)}
