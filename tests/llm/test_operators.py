@@ -504,3 +504,33 @@ def test_passages_whose_seeds_come_first_and_nearest_in_fragments(spark):
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
     got = {(r.doc_id, r.match_doc_id, r.start_word, r.end_word) for r in passages.passages(docs).collect()}
     assert got == {(17, 8, 15, 95)}
+
+
+def test_passages_of_a_frequent_phrase_are_told_apart_by_their_surroundings(spark, monkeypatch):
+    rng = np.random.default_rng(92)
+    words = lambda n: [f"w{w}" for w in rng.integers(0, 10**7, n)]
+    phrase, beside = words(20), [words(3) for _ in range(14)]
+    # every third word differs beside the phrase, so that no seed but the phrase's is shared
+    around = lambda: [w for part in beside[:7] for w in (*part, *words(1))] + phrase + [w for part in beside[7:] for w in (*words(1), *part)]
+    texts = [words(40) + phrase + words(40) for _ in range(12)] + [words(9) + around() + words(9)] + [words(40) + phrase + words(40) for _ in range(12)] + [words(5) + around() + words(5)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    sizes, judged = [], passages._judged
+
+    def seen(met, *args):
+        sizes.append(met.select("doc", "match").distinct().count())
+        return judged(met, *args)
+
+    monkeypatch.setattr(passages, "_judged", seen)
+    for hot in (4, 1000):  # told apart, and all meet
+        assert [(r.doc_id, r.match_doc_id) for r in passages.passages(docs, hot=hot).collect()] == [(25, 12)]
+    assert sizes[1] == 1 and sizes[3] == 26 * 25 // 2
+
+
+def test_stretches_of_one_word_meet_in_step(spark):
+    x, y = passages.matches(np.arange(40), np.arange(100, 120))
+    assert set(x) == set(range(40)) and len(x) < 100
+    x, y = passages.matches(np.array([3, 50]), np.array([7, 90, 200]))
+    assert len(x) == 6
+    texts = ["a b c d e f " * 3 + " ".join(["of"] * 60), " ".join(["x y z u v w"] * 2 + ["of"] * 150), " ".join(["q r s t"] * 3 + ["of"] * 70)]
+    got = {(r.doc_id, r.match_doc_id) for r in passages.passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert {d for d, _ in got} == {1, 2}
