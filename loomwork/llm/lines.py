@@ -5,8 +5,8 @@ share a segment, at a place that lengths bound: each line indexes its own
 segments under its length and probes those substrings of its own that could be a
 segment of an equally long or shorter line. Keys that only one line has fall out by
 aggregation. Keys of more than ``HOT`` lines are refined: what is left of their lines
-beside the shared segment is within ``edits`` edits too, so it is cut into segments
-again. In keys of up to ``HOT`` lines, those that have no line of near counts of
+before and behind the shared segment has so many edits each that both sides are cut into
+segments again, of which near lines share one a side; then what is left beside these. In keys of up to ``HOT`` lines, those that have no line of near counts of
 letters beside them fall out. Links are found in steps, so that large groups of
 variants take linear work: each line, a few times, against the one hub (a line drawn
 from each key) that it shares most keys with; then, in keys that still hold more than
@@ -78,6 +78,52 @@ def _beside(line: Column, length: Column, pos: Column, edits: int) -> Column:
     return F.concat(F.substring(line, F.lit(1), at - 1), F.substring(line, at + size, length))
 
 
+def _side(part: Column, shift: Column, edits: int, own: Column) -> list[tuple[int, Column, Column, Column, Column]]:
+    """(segment, fit, segment's text, text beside it, indexed) of what one side of a shared segment is found by, when it may have ``edits`` edits.
+
+    ``shift``: how much longer it is than the side of the indexed line; ``own``: it is that of an indexed line.
+    """
+    length, parts, found = F.char_length(part), edits + 1, []
+    for j in range(1, parts + 1):
+        start, size = _place(length - shift, j, parts)
+        for move in range(-(j - 1), j):
+            at = start + move
+            fit = F.abs(shift - move) <= parts - j
+            beside = F.concat(F.substring(part, F.lit(1), at - 1), F.substring(part, at + size, length))
+            found.append((j, fit & (length >= shift) & (at >= 1) & (at + size - 1 <= length), F.substring(part, at, size), beside, own & F.lit(not move)))
+    return found
+
+
+def _sides(line: Column, length: Column, pos: Column, edits: int) -> list[Column]:
+    """What is before and behind the segment of a line's key at ``pos`` of ``segment_keys``, which segment it is, and how much longer than in an indexed line each side is."""
+    parts, spots = edits + 1, []
+    for shift, i, at, size, own in _segments(length, edits):
+        start = _place(length - shift, i, parts)[0]
+        spots.append(F.struct(at.alias("at"), size.alias("size"), F.lit(i).alias("i"), (at - start).cast("int").alias("move"), F.lit(shift).alias("shift")))
+    spot = F.get(F.array(*spots), pos)
+    before, behind = F.substring(line, F.lit(1), spot["at"] - 1), F.substring(line, spot["at"] + spot["size"], length)
+    return [before.alias("before"), behind.alias("behind"), spot["i"].alias("i"), spot["move"].alias("move"), (spot["shift"] - spot["move"]).alias("other")]
+
+
+def _refined(sides: DataFrame, edits: int) -> DataFrame:
+    """(id, found: k, line, indexed): by which lines are found among those of their key, and what is left of them beside the shared parts.
+
+    ``sides``: (id, k, own, before, behind, i, move, other). Of near lines one shared segment, the
+    i-th, has ``i - 1`` edits before it and ``edits - i + 1`` behind it at most, so both sides
+    share a segment of their own there.
+    """
+    found = None
+    for i in range(1, edits + 2):
+        some = []
+        for j, fit, text, rest, indexed in _side(F.col("before"), F.col("move"), i - 1, F.col("own")):
+            for h, fits, other, left, too in _side(F.col("behind"), F.col("other"), edits - i + 1, F.col("own")):
+                key = F.xxhash64("k", F.lit(j), text, F.lit(h), other)
+                some.append(F.struct(F.when(fit & fits, key).alias("k"), F.concat(rest, left).alias("line"), (indexed & too).alias("indexed")))
+        one = sides.where(F.col("i") == i).select("id", F.array(*some).alias("found"))
+        found = one if found is None else found.union(one)
+    return found
+
+
 def letters(line: Column) -> Column:
     """How often a line has each of sixteen letters, modulo 16, packed into a long."""
     counts = [(F.char_length(line) - F.char_length(F.replace(line, F.lit(c), F.lit("")))) % 16 for c in LETTERS]
@@ -171,11 +217,17 @@ def line_links(lines: DataFrame, scratch: Scratch, edits: int = EDITS, hot: int
         if over.isEmpty():
             break
         ready.append(members.where(F.col("many") <= hot))
-        texts = over if level > 1 else over.join(near.drop("letters"), "id")
-        rest = texts.select("id", "k", _beside(F.col("line"), F.col("length"), F.col("pos"), edits).alias("line"), (F.col("pos") > edits).alias("probe"))
-        rest = scratch.save(rest.withColumn("length", F.char_length("line")).withColumn("keys", segment_keys(F.col("line"), F.col("length"), edits)), f"rest-{level}")
-        finer = rest.select("id", "probe", "line", "length", F.col("k").alias("outer"), F.posexplode("keys").alias("pos", "k")).where("k is not null")
-        finer = finer.withColumn("k", F.xxhash64("outer", "k"))
+        if level == 1:
+            texts = over.join(near.drop("letters"), "id")
+            sides = texts.select("id", "k", (F.col("pos") <= edits).alias("own"), *_sides(F.col("line"), F.col("length"), F.col("pos"), edits))
+            rest = scratch.save(_refined(scratch.save(sides, "sides"), edits), "rest-1")
+            finer = rest.select("id", F.explode("found").alias("one")).select("id", "one.k", "one.line", F.when(F.col("one.indexed"), 0).otherwise(edits + 1).alias("pos"))
+            finer = finer.where("k is not null").withColumn("length", F.char_length("line"))
+        else:
+            rest = over.select("id", "k", "line" if level == 2 else _beside(F.col("line"), F.col("length"), F.col("pos"), edits).alias("line"))
+            rest = scratch.save(rest.withColumn("length", F.char_length("line")).withColumn("keys", segment_keys(F.col("line"), F.col("length"), edits)), f"rest-{level}")
+            finer = rest.select("id", "line", "length", F.col("k").alias("outer"), F.posexplode("keys").alias("pos", "k")).where("k is not null")
+            finer = finer.withColumn("k", F.xxhash64("outer", "k"))
         members = scratch.save(finer.join(_shared(finer, edits).hint("shuffle_hash"), "k").select("k", "many", "id", "pos", "line", "length"), f"shared-{level}")
     ready.append(members)
     members = ready[0].select("k", "many", "id", "pos")
@@ -190,7 +242,7 @@ def line_links(lines: DataFrame, scratch: Scratch, edits: int = EDITS, hot: int
         pairs = _voted(members, edits) if step < ROUNDS else _met(members, edits)
         found = scratch.save(_verified(pairs, near, edits), f"links-{step}")
         part = merged(part, found, scratch, f"part-{step}")
-    scratch.drop("buckets", "members", "possible", before, "near", *(f"{n}-{k}" for k in range(FINER + 1) for n in ("shared", "rest")))
+    scratch.drop("buckets", "members", "possible", "sides", before, "near", *(f"{n}-{k}" for k in range(FINER + 1) for n in ("shared", "rest")))
     return part
 
 

@@ -534,3 +534,31 @@ def test_stretches_of_one_word_meet_in_step(spark):
     texts = ["a b c d e f " * 3 + " ".join(["of"] * 60), " ".join(["x y z u v w"] * 2 + ["of"] * 150), " ".join(["q r s t"] * 3 + ["of"] * 70)]
     got = {(r.doc_id, r.match_doc_id) for r in passages.passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert {d for d, _ in got} == {1, 2}
+
+
+def test_hot_keys_are_refined_on_both_sides(spark, tmp_path):
+    rng = np.random.default_rng(93)
+    text = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    shared = text(10)
+    # a middle segment that all hold, and what is beside it: far ones, and near ones of one edit a side or two on one
+    lines_ = [text(10) + shared + text(10) for _ in range(12)]
+    for base in lines_[:4]:
+        lines_ += [base[:3] + "x" + base[4:25] + "y" + base[26:], base[:4] + base[5:27] + "zz" + base[27:29] + base[30:], "xy" + base[2:], base[:-2]]
+    table = spark.createDataFrame([(i, x, len(x)) for i, x in enumerate(lines_)], "id long, line string, length int")
+    table = table.withColumn("keys", lines.segment_keys(F.col("line"), F.col("length"), 2))
+    near = [{i} for i in range(len(lines_))]
+    for i in range(len(lines_)):
+        for j in range(i):
+            if edits(lines_[i], lines_[j]) <= 2:
+                one, two = next(s for s in near if i in s), next(s for s in near if j in s)
+                if one is not two:
+                    near = [s for s in near if s is not one and s is not two] + [one | two]
+    want = {i: min(s) for s in near if len(s) > 1 for i in s}
+    for hot in (2, 64):
+        got = {r.id: r.component for r in lines.line_links(table, lines.Scratch(spark, "test"), 2, hot).collect()}
+        assert got == want
+    # a side that may have one edit is cut in two, so the middle segment's own line has four finer keys, not nine
+    rows = table.limit(1).select("id", "line", "length", F.explode(F.array(*(F.lit(p) for p in range(3)))).alias("pos"), F.lit(7).cast("long").alias("k"))
+    sides = rows.select("id", "k", F.lit(True).alias("own"), *lines._sides(F.col("line"), F.col("length"), F.col("pos"), 2))
+    counts = sorted(sum(1 for x in r.found if x.k is not None and x.indexed) for r in lines._refined(sides, 2).collect())
+    assert counts == [3, 3, 4]
