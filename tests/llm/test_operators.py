@@ -531,6 +531,8 @@ def test_stretches_of_one_word_meet_in_step(spark):
     assert set(x) == set(range(40)) and len(x) < 100
     x, y = passages.matches(np.array([3, 50]), np.array([7, 90, 200]))
     assert len(x) == 6
+    x, y = passages.matches(np.arange(0, 240, 12), np.arange(0, 260, 13))  # other text may lie between, so all meet
+    assert len(x) == 400
     texts = ["a b c d e f " * 3 + " ".join(["of"] * 60), " ".join(["x y z u v w"] * 2 + ["of"] * 150), " ".join(["q r s t"] * 3 + ["of"] * 70)]
     got = {(r.doc_id, r.match_doc_id) for r in passages.passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert {d for d, _ in got} == {1, 2}
