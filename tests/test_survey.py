@@ -100,6 +100,15 @@ def test_folds(spark):
     assert sampling.undersample(df, "y", "id", 3).count() == 404
 
 
+@pytest.mark.parametrize("positives", [1, 3, 7, 8])
+def test_undersample_rounds_halves_as_sql(spark, tmp_path, positives):
+    c = duckdb.connect()
+    c.sql(f"copy (select * from '{SF}/orders.parquet' where o_orderpriority <> '1-URGENT' union all (select * from '{SF}/orders.parquet' where o_orderpriority = '1-URGENT' order by o_orderkey limit {positives})) to '{tmp_path}/orders.parquet' (format parquet)")
+    c.sql(f"create view orders as select * from '{tmp_path}/orders.parquet'")
+    ours, theirs = plans.QUERIES["undersample_exact"](spark, str(tmp_path)).toPandas(), c.sql(plans.ORACLE_SQL["undersample_exact"]).df()
+    assert rows(ours) == rows(theirs)
+
+
 def test_linear(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(400, 3))
