@@ -1,8 +1,9 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from loomwork.operators import distributions, ensemble, linear, metrics, screening
+from loomwork.operators import cuts, distributions, ensemble, linear, metrics, screening
 
 
 def frame(spark, rng, n=3000):
@@ -125,6 +126,47 @@ def test_weights_of_two_models_against_all_cuts(spark, ranges):
     assert ensemble.weights_by_fold(df.where("a > 99"), "a", "b", F.col("y"), "fold", 3, weights).count() == 0
 
 
+def shuffled(spark):
+    """Rows that stages of this session have written to shuffles so far."""
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_weights_put_few_rows_in_order(spark, monkeypatch):
+    monkeypatch.setattr(cuts, "FEW", 500)  # several scans
+    rng = np.random.default_rng(6)
+    n, weights = 30_000, [0.0, 0.5, 1.0]
+    y = rng.random(n) < 0.3
+    a, b, fold = y + rng.normal(0, 1, n), y + rng.normal(0, 0.8, n), rng.integers(0, 2, n)
+    df = spark.createDataFrame(pd.DataFrame({"a": a, "b": b, "y": y, "fold": fold.astype(np.int32)})).persist()
+    before = shuffled(spark)
+    got = {r.fold: r for r in ensemble.weights_by_fold(df, "a", "b", F.col("y"), "fold", 2, weights, 64).collect()}
+    assert shuffled(spark) - before < n / 2
+    df.unpersist()
+    for k, r in got.items():
+        own, best = fold != k, (-1.0, 0.0, 0.0)
+        for w in weights:
+            s = (w * a + (1 - w) * b)[own]
+            order = np.argsort(-s)
+            tp = np.cumsum(y[own][order])
+            f1 = 2 * tp / (np.arange(1, len(s) + 1) + tp[-1])
+            best = max(best, (f1.max(), -w, s[order][f1.argmax()]))
+        assert (r.f1, -r.weight, r.threshold) == pytest.approx(best, abs=1e-12)
+
+
+@pytest.mark.parametrize("label", [True, False])
+def test_cuts_of_odd_scores(spark, label):
+    """Infinite and missing scores, NaN (above all), no positives, folds and labels that don't count."""
+    rows = [(float("inf"), True, 0), (float("nan"), False, 0), (-0.0, True, 0), (0.0, True, 0), (-float("inf"), False, 0), (None, True, 0), (9.0, True, 7), (9.0, None, 0), (9.0, True, None)]
+    df = spark.createDataFrame([(s, y and label if y is not None else None, f) for s, y, f in rows], "s double, y boolean, fold int")
+    got = cuts.best_cuts(df, ["s"], F.col("y"), F.col("fold"), 1, ranges=4)
+    if label:
+        assert got == {(0, 0): (pytest.approx(6 / 7), 0.0)}
+    else:
+        assert got[0, 0][0] == 0.0 and np.isnan(got[0, 0][1])
+    assert cuts.best_cuts(df.where("fold = 7"), ["s"], F.col("y"), F.col("fold"), 1) == {}
+
+
 def test_groups_are_screened_as_one_by_one(spark):
     rng = np.random.default_rng(5)
     n = 1500
