@@ -188,11 +188,12 @@ def hybrid_trees(spark, sf_dir):
 
 
 def ridge_cv(spark, sf_dir):
-    def fit(train, penalty):
-        w = linear.ridge(train, ["a", "b", "c"], "y", [penalty])[penalty]
-        return sum((F.col(c) * float(v) for c, v in zip("abc", w[1:], strict=True)), F.lit(float(w[0])))
+    def fit(folds, k, grid):
+        w = linear.ridge_by_fold(folds, ["a", "b", "c"], "y", "fold", k, [g["penalty"] for g in grid])
+        score = lambda v: sum((F.col(c) * float(x) for c, x in zip("abc", v[1:], strict=True)), F.lit(float(v[0])))
+        return [[score(v) for v in w[g["penalty"]]] for g in grid]
 
-    found = validation.grid_search(_labelled(spark, sf_dir), "y", "id", validation.param_grid(penalty=[1e-3, 1e-1]), fit, 3)
+    found = validation.grid_at_once(_labelled(spark, sf_dir), "y", "id", validation.param_grid(penalty=[1e-3, 1e-1]), fit, 3)
     return spark.createDataFrame([(r["penalty"], r["f1"], r["std"]) for r in found], "penalty double, f1 double, std double")
 
 

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomwork.operators import jobs, models, transforms
+from loomwork.operators import jobs, linear, models, sampling, transforms, validation
 from loomwork.sources import results
 
 
@@ -136,6 +136,40 @@ def test_folds_against_a_loop(spark):
     assert jobs.best(out) is out[1] and jobs.best([out[0]]) is None
 
 
+@pytest.mark.parametrize("ids", [1000, 30, 1])
+@pytest.mark.parametrize("copies", [False, True])
+def test_folds_start_at_hashes(spark, ids, copies):
+    """Equal to ranks for keys of their own; of exact sizes where rows share keys or are copies."""
+    n = 311
+    df = spark.createDataFrame([(i % ids, None if i % 10 == 3 else int(i % 10 == 0), 0 if copies else i) for i in range(n)], "id long, y int, v int")
+    dealt, ranked = (f(df, "y", "id", 4).collect() for f in (sampling.dealt_folds, sampling.stratified_folds))
+    count = lambda rows: {(f, y): sum(r.fold == f and r.y == y for r in rows) for f in range(4) for y in (0, 1, None)}
+    assert count(dealt) == count(ranked) and len(dealt) == n
+    if ids == 1000:
+        assert sorted(map(repr, dealt)) == sorted(map(repr, ranked))
+    assert sampling.dealt_folds(df.where("id < 0"), "y", "id", 4).count() == 0
+    few = df.where("v < 3" if not copies else "id < 1").limit(3)
+    assert sorted(r.fold for r in sampling.dealt_folds(few.where("y = 0"), "y", "id", 4).collect()) == sorted(r.fold for r in sampling.stratified_folds(few.where("y = 0"), "y", "id", 4).collect())
+
+
+def test_grid_at_once_is_the_grid_one_by_one(spark):
+    df, *_ = rows_of(spark, 700, nulls=0)
+    grid = validation.param_grid(penalty=[0.01, 0.5])
+    score = lambda w: w[0] + float(w[1]) * F.col("a") + float(w[2]) * F.col("b")
+
+    def fit(folds, k, grid):
+        found = linear.ridge_by_fold(folds, ["a", "b"], "y", "fold", k, [g["penalty"] for g in grid])
+        return [[score([F.lit(float(w[0])), *w[1:]]) for w in found[g["penalty"]]] for g in grid]
+
+    def one(train, penalty):
+        w = linear.ridge(train, ["a", "b"], "y", [penalty])[penalty]
+        return score([F.lit(float(w[0])), *w[1:]])
+
+    got, want = validation.grid_at_once(df, "y", "id", grid, fit, 3), validation.grid_search(df, "y", "id", grid, one, 3)
+    assert [r["penalty"] for r in got] == [r["penalty"] for r in want]
+    assert [(r["f1"], r["std"]) for r in got] == [pytest.approx((r["f1"], r["std"]), abs=1e-9) for r in want]
+
+
 def test_final_and_averaged_models(spark, tmp_path):
     df, *_ = rows_of(spark, 500)
     test = df.where("id < 120").drop("y").withColumn("a", F.col("a") + 1)
