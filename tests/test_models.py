@@ -160,6 +160,31 @@ def test_survey_files(spark, tmp_path):
     assert [r.id for r in survey.every_nth(spark.range(205), "id").orderBy("id").collect()] == [0, 50, 100, 150, 200]
 
 
+def jobs_of(spark, made):
+    """What ``made`` gives, and how many jobs it ran."""
+    group = f"count {id(made)}"
+    spark.sparkContext.setJobGroup(group, group)
+    got = made()
+    spark.sparkContext.setJobGroup("rest", "rest")
+    return got, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+@pytest.mark.parametrize("colsample", [0.5, 1.0])
+def test_a_tree_of_few_columns_is_one_job(spark, monkeypatch, colsample):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(900, 3)).round(1)
+    y = (rng.random(900) < 1 / (1 + np.exp(-x[:, 0] * x[:, 1]))).astype(int)
+    df = spark.createDataFrame([(i, *map(float, r), int(v)) for i, (r, v) in enumerate(zip(x, y, strict=True))], "id long, a double, b double, c double, y int").persist()
+    grown = lambda: trees.gradient_boosting(df, ["a", "b", "c"], "y", "id", n_trees=11, depth=4, min_rows=20, n_bins=16, colsample=colsample)
+    once, few = jobs_of(spark, grown)
+    monkeypatch.setattr(trees, "CUBE", 0)
+    by_level, many = jobs_of(spark, grown)
+    df.unpersist()
+    assert few < 40 and many > few + 11
+    for a, b in zip(once.trees, by_level.trees, strict=True):
+        assert (a.feature, a.cut, a.left, a.right) == (b.feature, b.cut, b.left, b.right) and a.value == pytest.approx(b.value, abs=1e-12)
+
+
 @pytest.mark.parametrize("name", ["boosted_trees", "forest", "hybrid_trees", "ridge_cv"])
 def test_queries_of_models(spark, name):
     got = plans.QUERIES[name](spark, "/root/testdata/sf0.001").toPandas()
